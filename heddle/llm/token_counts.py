@@ -77,6 +77,7 @@ def section_tokens(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text:
     text = F.col(text) if isinstance(text, str) else text
     narrow = df.select(F.col(id_col).alias("id"), text.alias("text"), *([bounds.alias("bounds")] if bounds is not None else []))
     kind = pa.float64() if rule == "split" else pa.int64()
+    by_lines = bounds is None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(tokenizer)
@@ -89,7 +90,7 @@ def section_tokens(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text:
             ends = np.cumsum(widths)
             lead = (data & 0xC0) != 0x80
             chars = np.concatenate([[0], np.cumsum(lead)])
-            if bounds is None:
+            if by_lines:
                 edges = np.union1d(np.flatnonzero(data == 10) + 1, offsets[:-1][offsets[:-1] < offsets[1:]])
                 edges = edges[edges < len(data)]
             else:
