@@ -1,0 +1 @@
+"""Keyed operations over unbounded sources, with Structured Streaming."""
