@@ -8,6 +8,7 @@ import cmd
 import json
 import re
 import sys
+import threading
 from typing import Any
 
 from pyspark.sql import SparkSession
@@ -150,6 +151,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("-j", "--json", help="a file of copy tasks")
     p.add_argument("-v", "--variables", help="a file of name=value lines")
     p.add_argument("-V", "--variables-base64", help="the same, encoded")
+    p.add_argument("-R", "--serve", metavar="HOST:PORT", help="answer over HTTP, after the scripts")
     p.add_argument("-l", "--local", nargs="?", const="*", help="run in this process on so many cores")
     a = p.parse_args(argv)
     text = "\n".join(open(f, encoding="utf-8").read() for f in a.script)
@@ -175,7 +177,16 @@ def main(argv: list[str] | None = None) -> int:
     except ScriptError as e:
         print(e, file=sys.stderr)
         return 1
-    if a.interactive:
+    if a.serve:
+        from .server import serve
+
+        host, _, port = a.serve.rpartition(":")
+        server = serve(engine, host or "127.0.0.1", int(port))
+        if not a.interactive:
+            threading.Event().wait()
+        Shell(engine).cmdloop()
+        server.shutdown()
+    elif a.interactive:
         Shell(engine).cmdloop()
     return 0
 
