@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if it was counted and has at most this many rows of fixed width.
@@ -50,6 +50,20 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def search(edges: list, value: Column, strict: bool = False) -> Column:
+    """How many of the ascending edges are at most (strict: below) value, by a binary search in one expression; 0 for null."""
+    if not edges:
+        return F.lit(0)
+    table = F.array(*[F.lit(e) for e in edges])
+    steps = F.array(*[F.lit(1 << i) for i in range(len(edges).bit_length() - 1, -1, -1)])
+
+    def step(at: Column, size: Column) -> Column:
+        edge = F.get(table, at + size - 1)
+        return F.when(F.coalesce(edge < value if strict else edge <= value, F.lit(False)), at + size).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0), step)
+
+
 def fresh(df: DataFrame, stem: str) -> str:
     """A column name that df doesn't have, whatever its case."""
     have = {c.lower() for c in df.columns}

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix, slices, utf8
+from .common import mix, search, slices, utf8
 from .words import shingles
 
 
@@ -109,15 +109,7 @@ def with_next(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = named.select(F.percentile_approx("id", [i / parts for i in range(1, parts)], 20 * parts)).first()[0] if parts > 1 else None
     cuts = sorted(set(cuts or []))
-    bucket = F.lit(0)
-    if cuts:  # a binary search in a short list
-        edges, low, high = F.array(*[F.lit(c) for c in cuts]), F.lit(0), F.lit(len(cuts))
-        named = named.withColumns({"__edges": edges, "__low": low, "__high": high})
-        for _ in range(len(cuts).bit_length()):
-            mid = F.shiftright(F.col("__low") + F.col("__high"), 1)
-            right = F.coalesce(F.get("__edges", mid) <= F.col("id"), F.lit(False)) & (F.col("__low") < F.col("__high"))
-            named = named.withColumns({"__low": F.when(right, mid + 1).otherwise(F.col("__low")), "__high": F.when(right | (F.col("__low") >= F.col("__high")), F.col("__high")).otherwise(mid)})
-        bucket = F.col("__low")
+    bucket = search(cuts, F.col("id"))
     named = named.select(bucket.cast("int").alias("bucket"), F.lit(False).alias("tail"), "id", "text")
     # the first row of each bucket goes with the bucket before it, too: at most a row for each bucket
     firsts = named.groupBy("bucket").agg(F.min("id").alias("id"), F.count_if(F.col("id").isNull()).alias("nulls")).collect()
