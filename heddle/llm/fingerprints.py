@@ -42,7 +42,7 @@ class Sampler:
     def __init__(self, samples: int = 64, width: int = 2):
         self.samples, self.width = samples, width
         gamma = _gamma2()
-        self.r, self.inverse, self.ln = gamma.astype(np.float32), (1 / gamma).astype(np.float32), np.log(gamma).astype(np.float32)
+        self.r, self.ln = gamma.astype(np.float32), np.log(gamma).astype(np.float32)
         self.b = ((np.arange(65536) + 0.5) / 65536).astype(np.float32)
         self.seeds = mix(np.arange(1, samples + 1, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25))
 
@@ -52,12 +52,15 @@ class Sampler:
         ln = np.log(weights).astype(np.float32)
         for i in range(0, len(terms), rows):
             z = mix(terms[i : i + rows, None] ^ self.seeds)
-            one, two, three = (((z >> np.uint64(s)) & np.uint64(0xFFFF)).astype(np.int64) for s in (0, 16, 32))
-            b = self.b[three]
-            t = np.floor(ln[i : i + rows, None] * self.inverse[one] + b)
-            value[i : i + rows] = self.ln[two] - self.r[one] * (t - b + 1)
-            code = (z >> np.uint64(32)) + t.astype(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-            bits[i : i + rows] = (mix(code) >> np.uint64(48)).astype(np.uint16)
+            parts = z.view(np.uint16).reshape(*z.shape, 4)  # four independent numbers of 16 bits
+            r, c, b = self.r[parts[..., 0]], self.ln[parts[..., 1]], self.b[parts[..., 2]]
+            value[i : i + rows] = c - r * (1 - b)
+            bits[i : i + rows] = parts[..., 3]
+            more = np.flatnonzero(weights[i : i + rows] > 1)  # at weight 1 t is 0
+            if len(more):
+                t = np.floor(ln[i + more, None] / r[more] + b[more])
+                value[i + more] = c[more] - r[more] * (t - b[more] + 1)
+                bits[i + more] += (t.astype(np.int64) * 40503).astype(np.uint16)
         return value, bits
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
