@@ -174,6 +174,24 @@ def test_op2_rejects_outliers_of_their_group(spark):
     assert all(got[i] for i in range(300)) and not any(got[i] for i in range(300, 309))
 
 
+def test_op2_rejects_each_kind_of_junk(spark):
+    assert quality.chi2_quantile(0.999, 4) == pytest.approx(18.4668, abs=1e-3) and quality.consistency(0.75, 4) == pytest.approx(1.4864, abs=1e-3)
+    rng = np.random.default_rng(4)
+    near = rng.normal(size=(200_000, 4))
+    near = near[np.argsort((near**2).sum(1))[:150_000]]
+    assert quality.consistency(0.75, 4) * np.cov(near.T) == pytest.approx(np.eye(4), abs=0.02)
+    rnd = random.Random(2)
+    vocab = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(3, 7))) for _ in range(400)]
+    text = lambda n: [rnd.choice(vocab) for _ in range(n)]
+    rows = [(i, " ".join(text(60)), "en", "s") for i in range(300)]
+    rows += [(300 + i, " | ".join(text(60)), "en", "s") for i in range(9)]  # tables
+    phrase = text(5)
+    rows += [(310 + i, " ".join([*text(20), *phrase, *text(20), *phrase, *text(3)]), "en", "s") for i in range(3)]  # 19 % repeated words
+    got = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(got[i]["kept"] for i in range(300))
+    assert not any(r["kept"] or r["base_failed"] for i, r in got.items() if i >= 300)
+
+
 def test_op3_bytes_law(spark, odd, docs, none):
     for df in (odd, docs):
         rows = sharding.shard(df, 24).collect()
