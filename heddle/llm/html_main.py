@@ -8,7 +8,8 @@ slots are content. Alignment is done for each partition's pages, and the partial
 partition, are aligned again; so no host's pages are gathered, and one may hold any share of the pages.
 
 Slots that stand for something else vary, too (menus, adverts, comments), so what lies in elements of NOT_CONTENT, or in
-elements whose class, id or role says so, never counts as content, and where a page has an article or main element only
+elements whose role, id or a whole token of whose class says so, never counts as content. Class and id say nothing of
+elements of WHOLE, of headers in an article or main element, and of an element that holds most of the page's text. Where a page has an article or main element only
 what lies in one counts. If constant texts made up most of a page's content, the page is one of many copies rather than
 template, and it keeps them.
 
@@ -39,6 +40,7 @@ RAW = frozenset("script style textarea title noscript template iframe xmp".split
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby s samp small span strike strong sub sup time tt u var wbr".split())
 NOT_CONTENT = frozenset("head script style noscript template nav header footer aside form button select option textarea input iframe object svg canvas dialog menu title".split())
 ROOTS = frozenset("article main".split())
+WHOLE = frozenset("html body article main".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 SIGNS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer header masthead menu menubar modal nav navbar navigation newsletter notice notices notification pagination pager popup promo promoted promotion related replies reply respond share sharing sidebar social sponsor sponsored subscribe subscription toolbar widget widgets".split())
 #: A start tag closes open elements of the named kinds.
@@ -50,12 +52,12 @@ _WALLS = frozenset("article aside body div footer form header html main nav sect
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.DOTALL)
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _SPACE = re.compile(r"\s+")
-_PARTS = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
+HEADS = frozenset("header masthead".split())
 
 
-def _marked(attrs: str) -> tuple[str, bool]:
-    """What tells an element from others of its kind, and whether it is no content."""
-    label, out = [], False
+def _marked(attrs: str) -> tuple[str, bool, set[str]]:
+    """What tells an element from others of its kind, whether its role says that it is no content, and its sign words."""
+    label, out, signs = [], False, set()
     for name, a, b, c in _ATTR.findall(attrs):
         value = a or b or c
         if name.lower() == "role":
@@ -63,37 +65,57 @@ def _marked(attrs: str) -> tuple[str, bool]:
             continue
         if name.lower() == "class":
             label.append(".".join(sorted(value.split())))
-        out |= any(p.lower() in SIGNS for p in _PARTS.split(value))
-    return " ".join(label), out
+        signs |= SIGNS.intersection(value.lower().split())
+    return " ".join(label), out, signs
 
 
 class Block:
-    __slots__ = ("path", "root", "text")
+    __slots__ = ("path", "root", "sign", "text")
 
-    def __init__(self, path: tuple[str, ...], text: str, root: bool):
-        self.path, self.text, self.root = path, text, root
+    def __init__(self, path: tuple[str, ...], text: str, root: bool, sign: int = -1):
+        self.path, self.text, self.root, self.sign = path, text, root, sign
+
+
+def _without_signs(found: list[Block], outer: list[int]) -> list[Block]:
+    """The blocks that lie in no element with a sign word, other than one that holds most of the page's text.
+
+    outer: for each such element the next one that holds it, or -1. An element holds no less than those in it, so the
+    innermost decides.
+    """
+    if not outer:
+        return found
+    sizes = [0] * len(outer)
+    for b in found:
+        if b.sign >= 0:
+            sizes[b.sign] += len(b.text)
+    for i in range(len(outer) - 1, -1, -1):
+        if outer[i] >= 0:
+            sizes[outer[i]] += sizes[i]
+    most = sum(len(b.text) for b in found) / 2
+    return [b for b in found if b.sign < 0 or sizes[b.sign] > most]
 
 
 def blocks(page: str) -> list[Block]:
     """Texts of block elements in page order with the labels of their ancestors; what is no content by its elements is left out."""
     out: list[Block] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # element, label, no content, in a root
+    stack: list[tuple[str, str, bool, bool, int]] = []  # element, label, no content, in a root, innermost element with sign words
     run: list[str] = []
-    flags = (False, False)
+    flags = (False, False, -1)
+    outer: list[int] = []
 
     def flush() -> None:
         if run:
             text = _SPACE.sub(" ", entities.unescape("".join(run))).strip()
             run.clear()
             if text and not flags[0]:
-                out.append(Block(tuple(x[1] for x in stack if x[0] not in INLINE)[:DEPTH], text, flags[1]))
+                out.append(Block(tuple(x[1] for x in stack if x[0] not in INLINE)[:DEPTH], text, flags[1], flags[2]))
 
     def close(to: int) -> None:
         nonlocal flags
-        if any(x[0] not in INLINE or x[2] for x in stack[to:]):
+        if any(x[0] not in INLINE or x[2] or x[4] >= 0 for x in stack[to:]):
             flush()
         del stack[to:]
-        flags = (stack[-1][2], stack[-1][3]) if stack else (False, False)
+        flags = stack[-1][2:] if stack else (False, False, -1)
 
     at, size = 0, len(page)
     while at < size:
@@ -126,7 +148,7 @@ def blocks(page: str) -> list[Block]:
             at = end.end() if end else size
             run.append(" ")
             continue
-        label, no = _marked(m[3])
+        label, no, signs = _marked(m[3])
         inline = tag in INLINE
         if tag == "br":
             run.append(" ")
@@ -134,13 +156,21 @@ def blocks(page: str) -> list[Block]:
             if not inline:
                 flush()
             continue
+        if tag in WHOLE:
+            no, signs = False, set()
+        if flags[1]:
+            signs -= HEADS
         no = no or tag in NOT_CONTENT and not (tag == "header" and flags[1])
-        if not inline or no:
+        if not inline or no or signs:
             flush()
-        stack.append((tag, f"{tag} {label}".strip(), flags[0] or no, flags[1] or tag in ROOTS))
-        flags = (stack[-1][2], stack[-1][3])
+        held = flags[2]
+        if signs:
+            outer.append(held)
+            held = len(outer) - 1
+        stack.append((tag, f"{tag} {label}".strip(), flags[0] or no, flags[1] or tag in ROOTS, held))
+        flags = stack[-1][2:]
     flush()
-    return out
+    return _without_signs(out, outer)
 
 
 class Node:

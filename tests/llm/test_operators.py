@@ -388,6 +388,12 @@ def test_op8_copies_are_no_template(spark):
     assert {r["text"] for r in got} == {"the same article\nall over"}
 
 
+@pytest.mark.parametrize("page", ["<body class='single no-sidebar'>{}", "<body class='header-fixed social'>{}", "<div id='page' class='with-sidebar'>{}</div>", "<main class='content has-comments comments' role='search'>{}</main>", "<article><div class='entry-header'>{}</div></article>", "<article><div class='header'>{}</div><p>more</article>", "<div class='social-policy'>{}</div>", "<div class='widget'>{}</div>"])
+def test_op8_sign_words_spare_what_holds_the_text(page):
+    text = html_main.main_text(page.format("<h1>Title</h1><p>The text of the page.</p><div class='wide comments'><p>me too</p></div><b class='ad'>buy</b>"))
+    assert text.split("\n")[:2] == ["Title", "The text of the page."] and "me too" not in text and "buy" not in text
+
+
 def test_op8_tree_matching():
     leaf = html_main.Node
     a = leaf("r", children=[leaf("x"), leaf("y", children=[leaf("z")]), leaf("w")])
