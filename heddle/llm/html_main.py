@@ -2,10 +2,11 @@
 
 Pages of a host share a template. Each page is parsed to a tree whose like siblings are folded into one repeated node.
 Trees of a host are aligned one after the other by simple tree matching (the alignment of ordered children that matches
-most nodes), which gives a tree of all nodes of the host with the number of pages that have each and, in a bounded
-summary of frequent items, the texts that most pages have there. Nodes whose text is constant are template; varying
-slots are content. Alignment is done for each partition's pages, and the partial trees of a host, a few for each
-partition, are aligned again; so no host's pages are gathered, and one may hold any share of the pages.
+most nodes), which gives a tree of all nodes of the host with the number of pages that have each: nodes of most
+pages are the template's slots. Texts of slots are counted exactly, over all pages: those of most pages are template;
+what varies is content. Alignment is done for each partition's pages, and the partial trees of a host, a few for each
+partition, are aligned again; texts are counted by hash, partially before they are shuffled; so no host's pages are
+gathered, and one may hold any share of the pages.
 
 Slots that stand for something else vary, too (menus, adverts, comments), so what lies in elements of NOT_CONTENT, or in
 elements whose role, id or a whole token of whose class says so, never counts as content. Class and id say nothing of
@@ -24,6 +25,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -174,22 +176,16 @@ def blocks(page: str) -> list[Block]:
 
 
 class Node:
-    """A node of a host's tree. texts: counts of frequent texts by their hash, by the frequent items algorithm with KEPT counters."""
+    """A node of a host's tree and the number of pages that have it."""
 
-    KEPT = 32
-    __slots__ = ("children", "count", "label", "texts")
+    __slots__ = ("children", "count", "label")
 
-    def __init__(self, label: str, count: int = 1, texts: dict[int, int] | None = None, children: list[Node] | None = None):
-        self.label, self.count, self.texts, self.children = label, count, texts or {}, children or []
+    def __init__(self, label: str, count: int = 1, children: list[Node] | None = None):
+        self.label, self.count, self.children = label, count, children or []
 
     def add(self, other: Node) -> None:
         """Align another tree of the same label with this one and take it in."""
         self.count += other.count
-        for h, n in other.texts.items():
-            self.texts[h] = self.texts.get(h, 0) + n
-        if len(self.texts) > self.KEPT:
-            least = sorted(self.texts.values(), reverse=True)[self.KEPT]
-            self.texts = {h: n - least for h, n in self.texts.items() if n > least}
         if not other.children:
             return
         merged, i = [], 0
@@ -205,11 +201,11 @@ class Node:
         self.children = merged + self.children[i:]
 
     def dump(self) -> list:
-        return [self.label, self.count, list(self.texts.items()), [c.dump() for c in self.children]]
+        return [self.label, self.count, [c.dump() for c in self.children]]
 
     @classmethod
     def load(cls, x: list) -> Node:
-        return cls(x[0], x[1], dict(map(tuple, x[2])), [cls.load(c) for c in x[3]])
+        return cls(x[0], x[1], [cls.load(c) for c in x[2]])
 
 
 def likeness(a: Node, b: Node) -> int:
@@ -255,7 +251,7 @@ def text_hash(text: str) -> int:
 
 
 def tree(found: list[Block]) -> Node:
-    """The page's tree of blocks; siblings with one label are one node, and a text counts once for a page."""
+    """The page's tree of blocks; siblings with one label are one node."""
     root = Node("")
     at: dict[tuple[str, ...], Node] = {(): root}
     for b in found:
@@ -264,25 +260,32 @@ def tree(found: list[Block]) -> Node:
             if path not in at:
                 at[path] = Node(path[-1])
                 at[path[:-1]].children.append(at[path])
-        at[b.path].texts[text_hash(b.text)] = 1
-    for node in at.values():
-        if len(node.texts) > Node.KEPT:  # more slots than a template has: a list of content
-            node.texts = {}
     return root
 
 
-def constants(root: Node, least_pages: int, share: float) -> list[str]:
-    """path and hash of each text that at least that share of the host's pages have at a node."""
-    out: list[str] = []
+@lru_cache(10_000)
+def slot_hash(path: tuple[str, ...]) -> int:
+    return text_hash("/".join(path))
 
-    def walk(node: Node, path: str) -> None:
-        out.extend(f"{path}|{h}" for h, n in node.texts.items() if n >= least_pages and n >= share * root.count)
+
+def keys(found: list[Block]) -> set[tuple[int, int]]:
+    """Slot and text, by hash, of each block; a text counts once for a page and slot."""
+    return {(slot_hash(b.path), text_hash(b.text)) for b in found}
+
+
+def slots(root: Node, share: float) -> list[int]:
+    """The slots that at least that share of the host's pages have; nodes of one path count together."""
+    counts: dict[tuple[str, ...], int] = {}
+
+    def walk(node: Node, path: tuple[str, ...]) -> None:
         for c in node.children:
-            walk(c, f"{path}/{c.label}")
+            own = (*path, c.label)
+            counts[own] = counts.get(own, 0) + c.count
+            walk(c, own)
 
-    if root.count >= least_pages:
-        walk(root, "")
-    return sorted(out)
+    walk(root, ())
+    counts[()] = root.count
+    return sorted({slot_hash(p) for p, n in counts.items() if n >= share * root.count})
 
 
 def main_text(page: str | None, constant: frozenset[str] | set[str] = frozenset()) -> str:
@@ -290,7 +293,7 @@ def main_text(page: str | None, constant: frozenset[str] | set[str] = frozenset(
     if any(b.root for b in found):
         found = [b for b in found if b.root]
     if constant:
-        kept = [b for b in found if "/".join(("", *b.path)) + f"|{text_hash(b.text)}" not in constant]
+        kept = [b for b in found if f"{slot_hash(b.path)}|{text_hash(b.text)}" not in constant]
         if 2 * sum(len(b.text) for b in kept) >= sum(len(b.text) for b in found):
             found = kept
     return "\n".join(b.text for b in found)
@@ -302,19 +305,29 @@ def templates(pages: DataFrame, least_pages: int = 8, share: float = 0.6, url: s
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees: dict[str, Node] = {}
-        size = 0
-        send = lambda: pa.RecordBatch.from_arrays([pa.array([*trees], pa.string()), pa.array([json.dumps(t.dump()) for t in trees.values()], pa.string())], names=["host", "tree"])
+        counts: dict[tuple[str, int, int], int] = {}
+
+        def send() -> pa.RecordBatch:
+            hosts, slot, text = zip(*counts, strict=True) if counts else ((), (), ())
+            none = [None] * len(trees)
+            columns = [pa.array([*trees, *hosts], pa.string()), pa.array([json.dumps(t.dump()) for t in trees.values()] + [None] * len(hosts), pa.string())]
+            columns += [pa.array([*none, *x], pa.int64()) for x in (slot, text, counts.values())]
+            return pa.RecordBatch.from_arrays(columns, names=["host", "tree", "slot", "text", "n"])
+
         for batch in slices(batches, "html"):
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = tree(blocks(page or ""))
+                found = blocks(page or "")
+                own = tree(found)
                 if host in trees:
                     trees[host].add(own)
                 else:
                     trees[host] = own
-            size += batch.num_rows
-            if len(trees) > 5000:  # hosts in hand are bounded; what is sent is aligned later
+                for slot, text in keys(found):
+                    counts[host, slot, text] = counts.get((host, slot, text), 0) + 1
+            if len(trees) > 5000 or len(counts) > 200_000:  # what is in hand is bounded; what is sent is put together later
                 yield send()
                 trees.clear()
+                counts.clear()
         if trees:
             yield send()
 
@@ -326,10 +339,14 @@ def templates(pages: DataFrame, least_pages: int = 8, share: float = 0.6, url: s
                 whole = own
             else:
                 whole.add(own)
-        return pd.DataFrame({"host": [frame["host"].iloc[0]], "constant": [constants(whole, least_pages, share)]})
-
-    partial = named.mapInArrow(learn, "host string, tree string")
-    return partial.groupBy("host").applyInPandas(merge, "host string, constant array<string>").filter(F.size("constant") > 0)
+        return pd.DataFrame({"host": [frame["host"].iloc[0]], "pages": [whole.count], "slot": [slots(whole, share)]})
+
+    partial = written(named.mapInArrow(learn, "host string, tree string, slot long, text long, n long"))
+    hosts = written(partial.filter("tree is not null").select("host", "tree").groupBy("host").applyInPandas(merge, "host string, pages long, slot array<long>").filter(F.col("pages") >= least_pages))
+    # most texts stand on one page, so few are left before the joins
+    counts = partial.filter("tree is null").groupBy("host", "slot", "text").agg(F.sum("n").alias("n")).filter(F.col("n") >= least_pages)
+    found = counts.join(hosts.select("host", F.explode("slot").alias("slot"), "pages"), ["host", "slot"]).filter(F.col("n") >= share * F.col("pages"))
+    return found.groupBy("host").agg(F.sort_array(F.collect_list(F.concat_ws("|", "slot", "text"))).alias("constant"))
 
 
 def host_of(url: str) -> Column:

@@ -394,6 +394,14 @@ def test_op8_sign_words_spare_what_holds_the_text(page):
     assert text.split("\n")[:2] == ["Title", "The text of the page."] and "me too" not in text and "buy" not in text
 
 
+@pytest.mark.parametrize("n", [3, 20, 60])
+def test_op8_constant_among_many_paragraphs(spark, n):
+    own = lambda i: [f"paragraph {j} of {i} says {j * i}" for j in range(n)]
+    rows = [(i, "http://a.example.com/", "<article>" + "".join(f"<p>{x}</p>" for x in [*own(i), "All rights reserved."]) + "</article>") for i in range(100)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    assert {r["page_id"]: r["text"] for r in html_main.extract(df).collect()} == {i: "\n".join(own(i)) for i in range(100)}
+
+
 def test_op8_tree_matching():
     leaf = html_main.Node
     a = leaf("r", children=[leaf("x"), leaf("y", children=[leaf("z")]), leaf("w")])
