@@ -11,8 +11,11 @@ gathered, and one may hold any share of the pages.
 Slots that stand for something else vary, too (menus, adverts, comments), so what lies in elements of NOT_CONTENT, or in
 elements whose role, id or a whole token of whose class says so, never counts as content. Class and id say nothing of
 elements of WHOLE, of headers in an article or main element, and of an element that holds most of the page's text. Where a page has an article or main element only
-what lies in one counts. If constant texts made up most of a page's content, the page is one of many copies rather than
-template, and it keeps them.
+what lies in one counts.
+
+A page whose whole content stands on most pages of its host is a copy, not template, and keeps all of it; every other page
+loses its constant texts, however much of it they are. Hosts need `least_pages` pages with any text, and a text must stand
+on that many: with fewer nothing tells template from content, so texts of such hosts stay whole.
 
 A null or empty html gives an empty text, a null url the host ''. Repeated pages give equal results. Pages of any size
 are read whole; elements nested deeper than DEPTH count as that deep. Extra columns are ignored.
@@ -36,6 +39,7 @@ from pyspark.sql import types as T
 from .common import sized, slices, written
 
 DEPTH = 64
+WHOLE_SLOT = -1
 #: Elements of HTML by their part in the text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp".split())
@@ -268,9 +272,17 @@ def slot_hash(path: tuple[str, ...]) -> int:
     return text_hash("/".join(path))
 
 
+def content(found: list[Block]) -> list[Block]:
+    return [b for b in found if b.root] if any(b.root for b in found) else found
+
+
+def whole_hash(found: list[Block]) -> int:
+    return text_hash("\n".join(b.text for b in found))
+
+
 def keys(found: list[Block]) -> set[tuple[int, int]]:
-    """Slot and text, by hash, of each block; a text counts once for a page and slot."""
-    return {(slot_hash(b.path), text_hash(b.text)) for b in found}
+    """Slot and text, by hash, of each block, and of the whole content at WHOLE_SLOT; a text counts once for a page and slot."""
+    return {(slot_hash(b.path), text_hash(b.text)) for b in found} | {(WHOLE_SLOT, whole_hash(content(found)))}
 
 
 def slots(root: Node, share: float) -> list[int]:
@@ -285,21 +297,17 @@ def slots(root: Node, share: float) -> list[int]:
 
     walk(root, ())
     counts[()] = root.count
-    return sorted({slot_hash(p) for p, n in counts.items() if n >= share * root.count})
+    return sorted({WHOLE_SLOT} | {slot_hash(p) for p, n in counts.items() if n >= share * root.count})
 
 
 def main_text(page: str | None, constant: frozenset[str] | set[str] = frozenset()) -> str:
-    found = blocks(page) if page else []
-    if any(b.root for b in found):
-        found = [b for b in found if b.root]
-    if constant:
-        kept = [b for b in found if f"{slot_hash(b.path)}|{text_hash(b.text)}" not in constant]
-        if 2 * sum(len(b.text) for b in kept) >= sum(len(b.text) for b in found):
-            found = kept
+    found = content(blocks(page)) if page else []
+    if constant and f"{WHOLE_SLOT}|{whole_hash(found)}" not in constant:
+        found = [b for b in found if f"{slot_hash(b.path)}|{text_hash(b.text)}" not in constant]
     return "\n".join(b.text for b in found)
 
 
-def templates(pages: DataFrame, least_pages: int = 8, share: float = 0.6, url: str = "url", html: str = "html") -> DataFrame:
+def templates(pages: DataFrame, least_pages: int = 3, share: float = 0.6, url: str = "url", html: str = "html") -> DataFrame:
     """host and its constant texts, a row for each host that has any."""
     named = pages.select(host_of(url).alias("host"), F.col(html).alias("html"))
 
@@ -317,6 +325,8 @@ def templates(pages: DataFrame, least_pages: int = 8, share: float = 0.6, url: s
         for batch in slices(batches, "html"):
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = blocks(page or "")
+                if not found:
+                    continue
                 own = tree(found)
                 if host in trees:
                     trees[host].add(own)
@@ -353,7 +363,7 @@ def host_of(url: str) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1)), F.lit(""))
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html", least_pages: int = 8, share: float = 0.6) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html", least_pages: int = 3, share: float = 0.6) -> DataFrame:
     """page_id, url, text, n_chars of each page."""
     learned = written(templates(pages, least_pages, share, url, html))
     named = pages.select(F.col(id_col).alias("page_id"), F.col(url).alias("url"), host_of(url).alias("host"), F.col(html).alias("html"))

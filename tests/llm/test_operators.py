@@ -402,6 +402,18 @@ def test_op8_constant_among_many_paragraphs(spark, n):
     assert {r["page_id"]: r["text"] for r in html_main.extract(df).collect()} == {i: "\n".join(own(i)) for i in range(100)}
 
 
+@pytest.mark.parametrize("pages", [3, 7, 12])
+def test_op8_template_longer_than_the_article(spark, pages):
+    notice = "<div><p>" + "A long notice that stands on every page. " * 20 + "</p><p>Home, news, about</p></div>"
+    rows = [(i, "http://a.example.com/", f"{notice}<div><p>Short {i}.</p></div>") for i in range(pages)]
+    rows += [(100 + i, "http://b.example.com/", f"{notice}<p>Copy.</p>" if i < 2 else f"{notice}<p>Other.</p>") for i in range(3)]
+    rows += [(200, "http://a.example.com/", None), (201, "http://c.example.com/", "<p>alone</p>"), (202, "http://c.example.com/", "<p>alone</p>")]
+    got = {r["page_id"]: r["text"] for r in html_main.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)).collect()}
+    assert all(got[i] == f"Short {i}." for i in range(pages))
+    assert got[100].endswith("Copy.") and got[102] == "Other."
+    assert got[200] == "" and got[201] == got[202] == "alone"
+
+
 def test_op8_tree_matching():
     leaf = html_main.Node
     a = leaf("r", children=[leaf("x"), leaf("y", children=[leaf("z")]), leaf("w")])
