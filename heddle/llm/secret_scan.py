@@ -1,9 +1,14 @@
 """Secret scans: fixed patterns, and sliding-window entropy over candidate strings.
 
 Patterns find assignments to secret-like names, access keys and long hexadecimal runs. Further candidates are long runs of
-key characters; for each class of characters (hexadecimal, base 64) the Shannon entropy of a window is kept up by counts
-that change by one character in and one out, and windows at or above the class's threshold are joined to spans. Spans
-that an allow-list pattern matches, that lie in a pattern's span, or that hold too few digits or only one case, go.
+the characters of a class: hexadecimal in any case, one case with digits (base 32 and 36), letters of one case, and base 64
+(both alphabets). Runs end at '=' and, but for base 64, at '+', '/', '_' and '-', so names and separators don't hide a key.
+The Shannon entropy of a window is kept up by counts that change by one character in and one out, and windows at or above
+the class's threshold are joined to spans. Hexadecimal spans need a letter and two digits, those of one case a digit at a
+lower threshold than without; base 64 ones both cases and two digits, or changes of case or between letters and digits at
+a quarter of a window's characters, which words, paths and names in camel case don't have.
+
+Runs that an allow-list pattern matches or that a pattern's span touches go.
 
 Offsets are code points, ends exclusive. Null texts count as empty and have no spans. Long texts are scanned whole.
 Repeated rows give equal results; extra columns are passed through or ignored as stated.
@@ -24,13 +29,16 @@ from pyspark.sql import types as T
 
 from .common import fresh, slices, utf8
 
-KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_b64")
+KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_b36", "entropy_b64")
 _NAMES = "password|passwd|secret|token|api_?key"
 _ASSIGN = re.compile(rf"(?:{_NAMES})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile("AKIA[A-Z0-9]+")
 _HEX = re.compile("[0-9a-f]{16,}")  # runs of the pattern [0-9a-f]+ that are long enough
-_CANDIDATE = re.compile("[A-Za-z0-9+/_=-]{20,}")
+_CANDIDATE = re.compile("[A-Za-z0-9+/_-]+")
 _HEX_CLASS = re.compile("[0-9A-Fa-f]+")
+_ONE_CASE = (re.compile("[a-z0-9]+"), re.compile("[A-Z0-9]+"))
+_LETTERS = re.compile("[a-z]+|[A-Z]+")
+_BREAK = re.compile("(?<=[a-z])[A-Z]|(?<=[A-Za-z])[0-9]|(?<=[0-9])[A-Za-z]|(?<=[A-Z]{2})[a-z]")
 #: candidates that are no secrets: UUIDs, runs of the alphabet or digits, one character or pair over and over
 ALLOW = (r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", r".*(abcdefghij|ABCDEFGHIJ|0123456789|9876543210).*", r"(..?)\1+.?", r".*(?i:example).*")
 
@@ -83,11 +91,60 @@ def hot_windows(run: str, window: int, threshold: float) -> list[tuple[int, int]
     return out
 
 
+def without(start: int, end: int, others: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The parts of a span that lie in none of the others."""
+    out = []
+    for s, e in sorted(others):
+        if s < end and e > start:
+            if s > start:
+                out.append((start, s))
+            start = max(start, e)
+    return out + [(start, end)] if start < end else out
+
+
 class Scanner:
-    def __init__(self, window: int = 20, hex_bits: float = 3.0, b64_bits: float = 3.8, allow: tuple[str, ...] = ALLOW):
-        self.window, self.bits = window, {"entropy_hex": hex_bits, "entropy_b64": b64_bits}
+    def __init__(self, window: int = 20, hex_bits: float = 3.0, b64_bits: float = 3.8, allow: tuple[str, ...] = ALLOW, b36_bits: float = 3.5, letter_bits: float = 3.8):
+        self.window, self.hex_bits, self.b64_bits, self.b36_bits, self.letter_bits = window, hex_bits, b64_bits, b36_bits, letter_bits
         self.allow = [re.compile(a) for a in allow]
 
+    def _hot(self, pattern: re.Pattern, run: str, bits: float) -> Iterator[tuple[int, int, str]]:
+        for m in pattern.finditer(run):
+            for s, e in hot_windows(m[0], self.window, bits):
+                yield m.start() + s, m.start() + e, m[0][s:e]
+
+    def _mixed(self, part: str) -> list[tuple[int, int]]:
+        """Joined windows of which a quarter of the characters change case or go from letters to digits or back."""
+        at = [0] * (len(part) + 1)
+        for m in _BREAK.finditer(part):
+            at[m.start() + 1] = 1
+        for i in range(len(part)):
+            at[i + 1] += at[i]
+        out: list[tuple[int, int]] = []
+        for s in range(len(part) - self.window + 1):
+            if 4 * (at[s + self.window] - at[s]) >= self.window:
+                if out and s <= out[-1][1]:
+                    out[-1] = (out[-1][0], s + self.window)
+                else:
+                    out.append((s, s + self.window))
+        return out
+
+    def entropy_spans(self, run: str) -> list[tuple[int, str, int]]:
+        """Spans of a run of key characters, the classes one after the other."""
+        out = []
+        for s, e, part in self._hot(_HEX_CLASS, run, self.hex_bits):
+            if sum(c.isdigit() for c in part) >= 2 and not part.isdigit():
+                out.append((s, "entropy_hex", e))
+        for one_case in _ONE_CASE:
+            out += [(s, "entropy_b36", e) for s, e, part in self._hot(one_case, run, self.b36_bits) if any(c.isdigit() for c in part) and not part.isdigit()]
+        out += [(s, "entropy_b36", e) for s, e, _ in self._hot(_LETTERS, run, self.letter_bits)]
+        for s, e in hot_windows(run, self.window, self.b64_bits):
+            part = run[s:e]
+            if sum(c.isdigit() for c in part) >= 2 and part != part.lower() and part != part.upper():
+                out.append((s, "entropy_b64", e))
+            else:
+                out += [(s + a, "entropy_b64", s + b) for a, b in self._mixed(part)]
+        return out
+
     def spans(self, text: str) -> list[tuple[int, str, int]]:
         """(start, kind, end), by start, then in the order of KINDS."""
         base = [(m.start(), "assign", m.end()) for m in _ASSIGN.finditer(text) if m.end(1) - m.start(1) >= 12]
@@ -95,15 +152,15 @@ class Scanner:
         base += [(m.start(), "hex", m.end()) for m in _HEX.finditer(text)]
         more = []
         for m in _CANDIDATE.finditer(text):
-            run = m[0]
-            if any(s < m.end() and e > m.start() for s, _, e in base) or any(a.fullmatch(run) for a in self.allow):
+            if m.end() - m.start() < self.window:
+                continue
+            if any(s < m.end() and e > m.start() for s, _, e in base) or any(a.fullmatch(m[0]) for a in self.allow):
                 continue
-            kind = "entropy_hex" if _HEX_CLASS.fullmatch(run) else "entropy_b64"
-            for s, e in hot_windows(run, self.window, self.bits[kind]):
-                part = run[s:e]
-                digits, lower, upper = sum(c.isdigit() for c in part), any(c.islower() for c in part), any(c.isupper() for c in part)
-                if digits >= 2 and (lower or upper) and (kind == "entropy_hex" or (lower and upper)):
-                    more.append((m.start() + s, kind, m.start() + e))
+            taken: list[tuple[int, int]] = []
+            for s, kind, e in self.entropy_spans(m[0]):
+                left = without(m.start() + s, m.start() + e, taken)
+                more += [(a, kind, b) for a, b in left]
+                taken += left
         return sorted(base + more, key=lambda x: (x[0], KINDS.index(x[1]), x[2]))
 
     def scan(self, texts: pa.Array) -> list[list[tuple[int, str, int]]]:

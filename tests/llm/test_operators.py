@@ -355,6 +355,20 @@ def test_op7_entropy_windows():
     assert not scan("id 123E4567-e89b-12d3-A456-426614174000 abcdefghijklmnopqrstuvwxyz ABABABABABABABABABABABAB internationalization-of-everything/paths")
 
 
+@pytest.mark.parametrize("key", ["3ax6xnjp29jd6fds4gc373sg", "JBSWY3DPEHPK3PXPKRUGS4ZANFZQ", "9F86D081884C7D659A2FEAA0C55AD015", "qzmxwplkvjhrtgbncydsfoueai", "QzMxwPLkvJhRtGbNcYdSfoUeAiWm"])
+@pytest.mark.parametrize("name", ["", "SIGNING_KEY=", "key-", "a list/", "x:"])
+def test_op7_keys_of_one_class(name, key):
+    text = f"so {name}{key} it is"
+    at = text.index(key)
+    inside = {i for s, _, e in secret_scan.Scanner().spans(text) for i in range(s, e)}
+    assert len(inside & set(range(at, at + len(key)))) >= 20 and not inside - set(range(at - len(name), at + len(key)))
+
+
+def test_op7_words_are_no_keys():
+    text = "internationalization Donaudampfschifffahrtsgesellschaft /usr/lib/x86_64-linux-gnu/libc-2.31 getInternationalizedMessageFormat state-of-the-art/and_so_on-and_so_forth Geschwindigkeitsbegrenzung =============================="
+    assert not secret_scan.Scanner().spans(text)
+
+
 def test_op7_redact(spark, odd):
     rows = {r["doc_id"]: r for r in secret_scan.redact(odd, count="n").collect()}
     assert rows[20]["text"] == 'key: [secret]" and [secret] and [secret]' and rows[20]["n"] == 3
