@@ -8,7 +8,8 @@ the class's threshold are joined to spans. Hexadecimal spans need a letter and t
 lower threshold than without; base 64 ones both cases and two digits, or changes of case or between letters and digits at
 a quarter of a window's characters, which words, paths and names in camel case don't have.
 
-Runs that an allow-list pattern matches or that a pattern's span touches go.
+What an allow-list pattern finds is cut out of the candidates before. Parts of a span that lie in a pattern's span or in
+one of a class before it go; the rest stays.
 
 Offsets are code points, ends exclusive. Null texts count as empty and have no spans. Long texts are scanned whole.
 Repeated rows give equal results; extra columns are passed through or ignored as stated.
@@ -39,8 +40,8 @@ _HEX_CLASS = re.compile("[0-9A-Fa-f]+")
 _ONE_CASE = (re.compile("[a-z0-9]+"), re.compile("[A-Z0-9]+"))
 _LETTERS = re.compile("[a-z]+|[A-Z]+")
 _BREAK = re.compile("(?<=[a-z])[A-Z]|(?<=[A-Za-z])[0-9]|(?<=[0-9])[A-Za-z]|(?<=[A-Z]{2})[a-z]")
-#: candidates that are no secrets: UUIDs, runs of the alphabet or digits, one character or pair over and over
-ALLOW = (r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", r".*(abcdefghij|ABCDEFGHIJ|0123456789|9876543210).*", r"(..?)\1+.?", r".*(?i:example).*")
+#: parts of candidates that are no secrets: UUIDs, runs of the alphabet or digits, the word example
+ALLOW = (r"(?<![0-9a-fA-F])[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![0-9a-fA-F])", "abcdefghij|ABCDEFGHIJ|0123456789|9876543210", "(?i:example)")
 
 
 def _class(chars: str) -> np.ndarray:
@@ -154,13 +155,14 @@ class Scanner:
         for m in _CANDIDATE.finditer(text):
             if m.end() - m.start() < self.window:
                 continue
-            if any(s < m.end() and e > m.start() for s, _, e in base) or any(a.fullmatch(m[0]) for a in self.allow):
-                continue
-            taken: list[tuple[int, int]] = []
-            for s, kind, e in self.entropy_spans(m[0]):
-                left = without(m.start() + s, m.start() + e, taken)
-                more += [(a, kind, b) for a, b in left]
-                taken += left
+            near = [(s, e) for s, _, e in base if s < m.end() and e > m.start()]
+            cuts = [x.span() for a in self.allow for x in a.finditer(m[0])]
+            for start, end in without(0, m.end() - m.start(), cuts):
+                taken = near.copy()
+                for s, kind, e in self.entropy_spans(m[0][start:end]):
+                    left = without(m.start() + start + s, m.start() + start + e, taken)
+                    more += [(a, kind, b) for a, b in left]
+                    taken += left
         return sorted(base + more, key=lambda x: (x[0], KINDS.index(x[1]), x[2]))
 
     def scan(self, texts: pa.Array) -> list[list[tuple[int, str, int]]]:
