@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
+import re
 
 import numpy as np
 import tiktoken
 from public_tokenizers import PATTERN
 
+from .common import ragged
 from .spans import SpanTable, cuts_before_spaces
 
 
@@ -19,18 +21,27 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class ChunkedBpe:
-    """ids of whole texts by a byte-level BPE `tokenizer.json`; strings of special tokens count as ordinary text."""
+    """ids of whole texts by a byte-level BPE `tokenizer.json`.
 
-    def __init__(self, path: str, most: int = 400_000):
+    added: whether strings of added tokens have these tokens' ids, as in `tokenizers`; else they count as ordinary text.
+    """
+
+    def __init__(self, path: str, most: int = 400_000, added: bool = False):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        special = {t["content"] for t in spec.get("added_tokens", ())}
+        own = spec.get("added_tokens", ())
+        special = {t["content"] for t in own}
         alphabet = byte_alphabet()
         ranks = {bytes(alphabet[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
         self.encoding = tiktoken.Encoding("byte-bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         #: bytes of each token
-        self.width = np.zeros(max(ranks.values()) + 1, np.int64)
-        for token, i in ranks.items():
+        self.added = {t["content"].encode(): t["id"] for t in own} if added else {}
+        if added and any(t.get(x) for t in own for x in ("single_word", "lstrip", "rstrip")):
+            raise ValueError("added tokens that take in or look at what is around them are not supported")
+        #: of several that begin at one place, the longest
+        self.find = re.compile(b"|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True))) if self.added else None
+        self.width = np.zeros(max([*ranks.values(), *self.added.values()]) + 1, np.int64)
+        for token, i in [*ranks.items(), *self.added.items()]:
             self.width[i] = len(token)
         self.table = SpanTable(self._learn, np.uint32, most)
 
@@ -61,6 +72,27 @@ class ChunkedBpe:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts (UTF-8, end to end, with len + 1 offsets), and len + 1 offsets into the ids."""
+        if self.find is not None and self.find.search(data):
+            own = [m for s, e in zip(offsets.tolist(), offsets[1:].tolist(), strict=False) for m in self.find.finditer(data, s, e)]
+            if own:
+                return self._encode_around(data, offsets, own)
+        return self._encode_plain(data, offsets)
+
+    def _encode_around(self, data: np.ndarray, offsets: np.ndarray, own: list[re.Match]) -> tuple[np.ndarray, np.ndarray]:
+        """Texts are cut at the added tokens found; each of these has one id, and what lies between is encoded for itself."""
+        begin = np.array([m.start() for m in own], np.int64)
+        edges = np.unique(np.concatenate([offsets, begin, np.array([m.end() for m in own], np.int64)]))
+        ids, at = self._encode_plain(data, edges)
+        counts = np.diff(at)
+        part = np.searchsorted(edges, begin)
+        keep = np.ones(len(ids), bool)
+        keep[ragged(at[part], counts[part])] = False
+        keep[at[part]] = True
+        ids[at[part]] = [self.added[m[0]] for m in own]
+        counts[part] = 1
+        return ids[keep], np.concatenate([[0], np.cumsum(counts)])[np.searchsorted(edges, offsets)]
+
+    def _encode_plain(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         starts, first = cuts_before_spaces(data, offsets)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
@@ -74,5 +106,5 @@ _loaded: dict[str, ChunkedBpe] = {}
 def loaded(path: str) -> ChunkedBpe:
     """One per Python worker and file."""
     if path not in _loaded:
-        _loaded[path] = ChunkedBpe(path)
+        _loaded[path] = ChunkedBpe(path, added=True)
     return _loaded[path]

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from heddle.llm import fingerprints, html_main, langid, neardup, packing, piece_codec, quality, secret_scan, sharding, token_counts
-from heddle.llm.bpe import ChunkedBpe
+from heddle.llm.bpe import ChunkedBpe, loaded
 from heddle.llm.common import utf8
 from heddle.llm.queries import BYTE_BPE, PIECES
 
@@ -58,6 +58,26 @@ def test_bpe_ids_equal_the_library(docs):
         assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == want
 
 
+def test_added_tokens_have_the_ids_of_the_library(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(BYTE_BPE)
+    rnd = random.Random(8)
+    texts = ["a <|endoftext|> b", "", "<|endoftext|><|endoftext|>x", "<|endof", "text|> a", " <|endoftext|>  \n<|endoftext|", "plain"]
+    texts += ["".join(rnd.choice(["<|endoftext|>", "<|endoftext|>", "<|", "a", " ", "  ", "\n", "é", "word", "|>"]) for _ in range(rnd.randint(0, 12))) for _ in range(300)]
+    want = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    ids, at = loaded(BYTE_BPE).encode(*utf8(pa.array(texts)))
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == want
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    count = Counter()
+    for r in token_counts.section_tokens(df, BYTE_BPE).collect():
+        count[r["doc_id"]] += r["n_tokens"]
+    assert all(count[i] == len(x) for i, x in enumerate(want))
+    for r in packing.pack(df, BYTE_BPE).collect():
+        own = np.array([*want[r["doc_id"]], 1], "<u4")
+        assert r["doc_tokens"] == len(own) and r["ids_crc32"] == zlib.crc32(own[r["start"] : r["start"] + r["length"]].tobytes())
+
+
 def brute_sections(text, bpe, rule):
     ids, _ = bpe.encode(*utf8(pa.array([text])))
     edges, at = [0], 0
