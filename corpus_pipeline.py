@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heddle.llm import langid, neardup, packing, quality, secret_scan
-from heddle.llm.common import read_table, sized, written
+from heddle.llm.common import fresh, read_table, sized, written
 from heddle.llm.queries import BYTE_BPE
 
 
@@ -26,13 +26,26 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group stays; rows with one id are one document."""
-    found = written(neardup.near_duplicates(docs, width=5, percent=80, bins=240))
-    gone = found.filter("not kept").select("doc_id").distinct()
-    out = docs.join(sized(gone, gone.count()), "doc_id", "left_anti").select(docs.columns)
+    """The document with the least id of each group stays; rows with one id and text are one document.
+
+    Where an id has several texts, that with the least hash is known by the id, and the others by numbers beyond all ids.
+    """
+    names, key, text_hash = docs.columns, fresh(docs, "doc_key"), F.xxhash64("text")
+    several = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.min(text_hash).alias("first"), F.max(text_hash).alias("last"))
+    several = written(several.filter("first != last").select(F.col("doc_id").alias("several_id"), "first"))
+    n = several.count()
+    if n:
+        beyond = F.xxhash64("doc_id", "text").bitwiseAND((1 << 62) - 1).bitwiseOR(F.lit(1 << 62))
+        docs = docs.join(sized(several, n), docs["doc_id"] == several["several_id"], "left")
+        docs = written(docs.select(*names, F.when(F.xxhash64("text") != F.col("first"), beyond).otherwise(F.col("doc_id")).alias(key)))
+    else:
+        docs = docs.withColumn(key, F.col("doc_id"))
+    found = written(neardup.near_duplicates(docs, width=5, percent=80, bins=240, id_col=key))
+    gone = found.filter("not kept").select(F.col("doc_id").alias(key)).distinct()
+    out = docs.join(sized(gone, gone.count()), key, "left_anti")
     if not found.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        out = out.filter("doc_id is null").unionByName(out.filter("doc_id is not null").dropDuplicates(["doc_id"]))
-    return out
+        out = out.filter(F.col(key).isNull()).unionByName(out.filter(F.col(key).isNotNull()).dropDuplicates([key]))
+    return out.select(names)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

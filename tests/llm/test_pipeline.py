@@ -45,6 +45,19 @@ def test_stages(spark, docs):
     assert {r["doc_id"] for r in packed.select("doc_id").collect()} == set(ids[3])
 
 
+def test_near_duplicates_of_ids_with_several_texts(spark):
+    rnd = random.Random(7)
+    text = lambda: " ".join(rnd.choice("abcdefghijkl") + str(rnd.randint(0, 999)) for _ in range(60))
+    old, other, third, fourth = text(), text(), text(), text()
+    rows = [(1, old), (7, old + " more"), (7, other), (8, third), (8, fourth), (8, fourth), (9, third + " more"), (None, old), (None, old)]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    out = corpus_pipeline.near_duplicates(spark, df, "")
+    assert out.dtypes == df.dtypes
+    got = Counter((r["doc_id"], r["text"]) for r in out.collect())
+    assert got[1, old] == got[7, other] == got[8, fourth] == 1 and got[None, old] == 2 and not got[7, old + " more"]
+    assert got[8, third] + got[9, third + " more"] == 1 and sum(got.values()) == 6
+
+
 def test_empty(spark, docs):
     now = docs.filter("doc_id < 0")
     for _, stage in corpus_pipeline.STAGES:
