@@ -9,7 +9,7 @@ import numpy as np
 import tiktoken
 from public_tokenizers import PATTERN
 
-from .common import ragged
+from .common import held, ragged
 from .spans import SpanTable, cuts_before_spaces
 
 
@@ -26,7 +26,7 @@ class ChunkedBpe:
     added: whether strings of added tokens have these tokens' ids, as in `tokenizers`; else they count as ordinary text.
     """
 
-    def __init__(self, path: str, most: int = 400_000, added: bool = False):
+    def __init__(self, path: str, most: int = 200_000, added: bool = False):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         own = spec.get("added_tokens", ())
@@ -100,11 +100,10 @@ class ChunkedBpe:
         return ids, np.concatenate([[0], np.cumsum(counts)])[first]
 
 
-_loaded: dict[str, ChunkedBpe] = {}
+def held_as(path: str) -> tuple[str, str]:
+    return "bpe", path
 
 
 def loaded(path: str) -> ChunkedBpe:
-    """One per Python worker and file."""
-    if path not in _loaded:
-        _loaded[path] = ChunkedBpe(path, added=True)
-    return _loaded[path]
+    """One per Python worker and stage."""
+    return held(held_as(path), lambda: ChunkedBpe(path, added=True))

@@ -2,29 +2,79 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A side of a join is broadcast only if it was counted and has at most this many rows of fixed width.
 BROADCAST_ROWS = 2_000_000
 #: Python code works on slices of at most about this many bytes of text at a time (one longer text is a slice of its own).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+#: About what an Arrow batch holds that Python workers are sent.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+try:
+    _trim = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):
+    _trim = None
+_held: dict[Hashable, Any] = {}
+
+
+def held(key: Hashable, make: Callable[[], Any]) -> Any:
+    """An object that a Python worker makes once and keeps for the stage that it works for."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def drop_held(keeps: Hashable) -> None:
+    for key in [k for k in _held if k != keeps]:
+        del _held[key]
+
+
+def release() -> None:
+    """Freed memory goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str, keeps: Hashable = None) -> DataFrame:
+    """df.mapInArrow that leaves no memory behind in workers, which live on: only what is held under `keeps` stays.
+
+    Batches are bounded by bytes as well as by rows, for the session.
+    """
+    conf = df.sparkSession.conf
+    if not 0 < int("".join(filter(str.isdigit, conf.get(_BATCH))) or 0) <= BATCH_BYTES:
+        conf.set(_BATCH, str(BATCH_BYTES))
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_held(keeps)
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(tidied, schema)
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests), a local one is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named by spark.checkpoint.dir; where that is unset, as in local tests, one below the warehouse is set.
+
+    The warehouse is shared by driver and executors wherever tables are.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        spark.sparkContext.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch")
         named = spark.sparkContext.getCheckpointDir()
-        if not named:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="heddle-"))
-            named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix, search, slices, utf8
+from .common import mapped, mix, search, slices, utf8
 from .words import shingles
 
 
@@ -102,7 +102,7 @@ def fingerprints(docs: DataFrame, samples: int = 64, width: int = 2, id_col: str
         for batch in slices(batches, "text", 1 << 20):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(written_out(sampler(*utf8(batch.column(1)))), pa.string())], names=schema.names)
 
-    return docs.select(docs[id_col], docs[text].alias("text")).mapInArrow(run, schema)
+    return mapped(docs.select(docs[id_col], docs[text].alias("text")), run, schema)
 
 
 def with_next(docs: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -155,4 +155,4 @@ def with_edits(docs: DataFrame, samples: int = 64, width: int = 2, id_col: str =
             # a tail row is followed by the next bucket's rows; it isn't a row of the result
             yield pa.RecordBatch.from_arrays([batch.column(2).slice(0, n), pa.array([len(x) for x in texts[:n]], pa.int64()), pa.array(sha, pa.string()), pa.array(written_out(own[:n]), pa.string()), pa.array(written_out(other), pa.string()), pa.array(likeness(own[:n], other)), pa.array(likeness(own[:n], own[1:]))], names=schema.names).filter(pc.invert(batch.column(1).slice(0, n)))
 
-    return rows.select("bucket", "tail", "id", "text").mapInArrow(run, schema)
+    return mapped(rows.select("bucket", "tail", "id", "text"), run, schema)

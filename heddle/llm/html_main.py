@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import sized, slices, written
+from .common import mapped, sized, slices, written
 
 DEPTH = 64
 WHOLE_SLOT = -1
@@ -351,7 +351,7 @@ def templates(pages: DataFrame, least_pages: int = 3, share: float = 0.6, url: s
                 whole.add(own)
         return pd.DataFrame({"host": [frame["host"].iloc[0]], "pages": [whole.count], "slot": [slots(whole, share)]})
 
-    partial = written(named.mapInArrow(learn, "host string, tree string, slot long, text long, n long"))
+    partial = written(mapped(named, learn, "host string, tree string, slot long, text long, n long"))
     hosts = written(partial.filter("tree is not null").select("host", "tree").groupBy("host").applyInPandas(merge, "host string, pages long, slot array<long>").filter(F.col("pages") >= least_pages))
     # most texts stand on one page, so few are left before the joins
     counts = partial.filter("tree is null").groupBy("host", "slot", "text").agg(F.sum("n").alias("n")).filter(F.col("n") >= least_pages)
@@ -383,4 +383,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: s
                 texts.append(main_text(page, seen[key]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=schema.names)
 
-    return joined.mapInArrow(run, schema)
+    return mapped(joined, run, schema)

@@ -5,11 +5,12 @@ within the family that it names, one-versus-one linear machines vote between its
 Features are shares of hashed byte trigrams of the whole text, lower-cased in ASCII, with digits as one symbol; as they
 are linear, a text's margin is the mean weight of its trigrams and no feature vector is built to predict.
 
-The machines are fitted on at most `per_language` labelled documents of each language (the documented bound), the ones
-with the least hash of their id, by dual coordinate descent with a bias feature. Language labels without a family in
+The machines are fitted on at most `per_language` labelled rows of each language (the documented bound), the ones with the
+least hash of their id, by dual coordinate descent with a bias feature. Language labels without a family in
 FAMILIES are families of their own. With fewer than two learned languages the only one, if any, is predicted.
 
-A null text, and one without letters, is `und` with score 0. Empty tables give no rows. Repeated rows get equal
+A null text, and one without letters (number signs are none), is `und` with score 0. Empty tables give no rows. Texts of
+any length are read whole. Repeated rows get equal
 predictions. Other columns, whatever their names, are passed through by `predict`.
 """
 
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, slices, utf8
+from .common import fresh, mapped, slices, utf8
 
 #: Families of ISO 639-1 codes.
 FAMILIES = {
@@ -40,7 +41,6 @@ FAMILIES = {
 }
 _FAMILY = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
 DIMENSIONS = 1 << 14
-_LETTER = re.compile(r"[^\W\d_]")
 _FOLD = np.arange(256, dtype=np.int64)
 _FOLD[65:91] += 32
 _FOLD[48:58] = 48
@@ -51,6 +51,11 @@ def family(lang: str) -> str:
     return _FAMILY.get(lang.split("-")[0].lower(), lang)
 
 
+def has_letter(text: bytes) -> bool:
+    """Whether any character is a letter (of a category L*; number signs aren't)."""
+    return re.search(rb"[A-Za-z]", text) is not None or any(map(str.isalpha, text.decode("utf-8", "replace")))
+
+
 def trigrams(data: np.ndarray) -> np.ndarray:
     """The feature number of each trigram."""
     b = _FOLD[data]
@@ -136,8 +141,7 @@ class Model:
         out, score = [], np.zeros(n)
         squash = lambda m: 1 / (1 + np.exp(-np.clip(2 * m, -50, 50)))
         for i in range(n):
-            text = data[offsets[i] : offsets[i + 1]].tobytes()
-            if not re.search(rb"[A-Za-z]", text) and not _LETTER.search(text.decode("utf-8", "replace")):
+            if not has_letter(data[offsets[i] : offsets[i + 1]].tobytes()):
                 out.append("und")
                 continue
             top, sure = self.families[0], 1.0
@@ -160,19 +164,27 @@ class Model:
 
 def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 400) -> Model:
     """A model from labelled documents that aren't held out."""
-    docs = docs.select(F.col(id_col).cast("string").alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).filter("lang is not null and text is not null and id is not null").filter(~held_out(F.col("id")))
-    turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(11), "id"), "id"))
-    some = docs.select("id", "lang").distinct().withColumn("turn", turn).filter(F.col("turn") <= per_language).select("id", "lang")
-    # at most per_language ids of each language: few enough to broadcast
-    sample = docs.join(F.broadcast(some), ["id", "lang"]).dropDuplicates(["id", "lang"])
+    turn = F.xxhash64(F.lit(11), "id").bitwiseAND((1 << 63) - 1)
+    named = docs.select(F.col(id_col).cast("string").alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).filter("lang is not null and text is not null and id is not null").filter(~held_out(F.col("id")))
+    # how many binary digits the hashes of a language's least `per_language` rows have; a row for each language and digit
+    digits = F.ceil(F.log2(turn + 1)).cast("int")
+    counts: dict[str, list[int]] = {}
+    for r in named.groupBy("lang", digits.alias("digits")).count().collect():
+        counts.setdefault(r["lang"], [0] * 65)[r["digits"]] = r["count"]
+    most = [(x, int(np.searchsorted(np.cumsum(c), min(per_language, sum(c))))) for x, c in counts.items()]
+    spark = docs.sparkSession
+    few = named.join(F.broadcast(spark.createDataFrame(most, "lang string, most int")), "lang").filter(digits <= F.col("most"))
+    order = Window.partitionBy("lang").orderBy(turn, "id", F.xxhash64("text"), "text")
+    sample = few.withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= per_language)
     schema = "lang string, at binary, value binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [(x, *shares(t.encode())) for x, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if _LETTER.search(t)]
+        for batch in slices(batches, "text"):
+            found = [(x, *shares(t)) for x, t in ((x, t.encode()) for x, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)) if has_letter(t)]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _, _ in found], pa.string()), pa.array([i.astype("<i4").tobytes() for _, i, _ in found], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, _, v in found], pa.binary())], names=["lang", "at", "value"])
 
-    got = sample.select("lang", "text").mapInArrow(run, schema).collect()
+    # at most per_language rows of each language, each of a bounded size
+    got = mapped(sample.select("lang", "text"), run, schema).collect()
     got.sort(key=lambda r: (r["lang"], bytes(r["at"]), bytes(r["value"])))
     rows = [(np.frombuffer(bytes(r["at"]), "<i4"), np.frombuffer(bytes(r["value"]), "<f4")) for r in got]
     labels = [r["lang"] for r in got]
@@ -195,4 +207,4 @@ def predict(df: DataFrame, model: Model, text: str = "text", lang_out: str = "la
             langs, score = shared.value.predict(*utf8(batch.column(batch.schema.get_field_index(text))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(score)], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return mapped(df, run, schema)

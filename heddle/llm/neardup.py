@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix, sized, slices, utf8, written
+from .common import mapped, mix, sized, slices, utf8, written
 from .words import lowered, shingles
 
 
@@ -95,7 +95,7 @@ def sketch(docs: DataFrame, width: int, bins: int, rows: int, id_col: str, text:
             h = mix(sums + counts[:, None].astype(np.uint64)).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), pa.array(h[:, 0], mask=none), pa.array(h[:, 1], mask=none), pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), pa.array(keys.ravel()))], names=schema.names)
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return mapped(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")), run, schema)
 
 
 def paired(pairs: DataFrame, docs: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -137,7 +137,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, id_col: str, text: st
             common = [int(np.count_nonzero(within(x, y))) for x, y in zip(left, right, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) for x in left], pa.int64()), pa.array([len(y) for y in right], pa.int64()), pa.array(common, pa.int64())], names=schema.names)
 
-    return both.mapInArrow(run, schema)
+    return mapped(both, run, schema)
 
 
 def beyond(pairs: DataFrame, docs: DataFrame, width: int, id_col: str, text: str) -> DataFrame:
@@ -151,7 +151,7 @@ def beyond(pairs: DataFrame, docs: DataFrame, width: int, id_col: str, text: str
             ends = np.cumsum([0, *map(len, extra)])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(extra)))], names=schema.names)
 
-    return both.mapInArrow(run, schema)
+    return mapped(both, run, schema)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -181,7 +181,7 @@ def all_elements(ids: DataFrame, docs: DataFrame, width: int, id_col: str, text:
             ends = np.cumsum([0, *map(len, sets)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))], names=schema.names)
 
-    return texts.mapInArrow(run, schema).select("rep", "n", F.explode("set").alias("e"))
+    return mapped(texts, run, schema).select("rep", "n", F.explode("set").alias("e"))
 
 
 def rarest(elements: DataFrame, context: list[str], size: str, prefix: Column) -> DataFrame:

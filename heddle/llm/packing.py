@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import loaded
-from .common import slices, utf8, written
+from .bpe import held_as, loaded
+from .common import mapped, slices, utf8, written
 
 
 def cut(rest: int, capacity: int, slack: float) -> list[int]:
@@ -61,7 +61,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, slack: f
             table = np.array(rows, np.int64).T
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(table[0])), *map(pa.array, table[1:])], names=schema.names)
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return mapped(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")), run, schema, held_as(tokenizer))
 
 
 def first_fit(frame: pd.DataFrame, capacity: int) -> pd.DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from sentencepiece import sentencepiece_model_pb2 as model_pb
 
-from .common import fresh, ragged, slices, utf8
+from .common import fresh, held, mapped, ragged, slices, utf8
 from .spans import SpanTable
 
 MARK = "▁"
@@ -31,7 +31,7 @@ _NONE = np.int32(2**31 - 1)
 
 
 class PieceCodec:
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 200_000):
         proto = model_pb.ModelProto()
         with open(path, "rb") as f:
             proto.ParseFromString(f.read())
@@ -214,14 +214,13 @@ class PieceCodec:
         return data[keep], at - gone[at]
 
 
-_loaded: dict[str, PieceCodec] = {}
+def held_as(path: str) -> tuple[str, str]:
+    return "pieces", path
 
 
 def loaded(path: str) -> PieceCodec:
-    """One per Python worker and file."""
-    if path not in _loaded:
-        _loaded[path] = PieceCodec(path)
-    return _loaded[path]
+    """One per Python worker and stage."""
+    return held(held_as(path), lambda: PieceCodec(path))
 
 
 def encode_ids(df: DataFrame, model: str, text: str = "text", out: str = "ids") -> DataFrame:
@@ -234,7 +233,7 @@ def encode_ids(df: DataFrame, model: str, text: str = "text", out: str = "ids")
             ids, at = codec.encode(*utf8(batch.column(batch.schema.get_field_index(text))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids))], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return mapped(df, run, schema, held_as(model))
 
 
 def decode_ids(df: DataFrame, model: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -252,7 +251,7 @@ def decode_ids(df: DataFrame, model: str, ids: str = "ids", out: str = "decoded"
             texts = [whole[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return mapped(df, run, schema, held_as(model))
 
 
 def digests(df: DataFrame, model: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -267,4 +266,4 @@ def digests(df: DataFrame, model: str, id_col: str = "doc_id", text: str = "text
             data, ends = codec.decode(ids, at)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at)), pa.array(sha(memoryview(ids.astype("<u4").tobytes()), 4 * at)), pa.array(sha(memoryview(data.tobytes()), ends))], names=schema.names)
 
-    return df.select(df[id_col], df[text].alias("text")).mapInArrow(run, schema)
+    return mapped(df.select(df[id_col], df[text].alias("text")), run, schema, held_as(model))

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import fresh, slices, utf8
+from .common import fresh, mapped, slices, utf8
 
 KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_b36", "entropy_b64")
 _NAMES = "password|passwd|secret|token|api_?key"
@@ -203,7 +203,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", scanner: S
             found = [[{"kind": k, "start": s, "end": e} for s, k, e in x] for x in scanner.scan(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], names=schema.names)
 
-    return docs.select(docs[id_col], docs[text].alias("text")).mapInArrow(run, schema)
+    return mapped(docs.select(docs[id_col], docs[text].alias("text")), run, schema)
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text: str = "text", scanner: Scanner | None = None) -> DataFrame:
@@ -220,7 +220,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text: str = "text", scanner
             sha = [hashlib.sha256(joined(b).encode()).hexdigest() for b in base]
             yield pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array(sha, pa.string()), pa.array([joined(f) for f in found], pa.string())], names=schema.names)
 
-    return docs.select(docs[id_col], docs[text].alias("text")).mapInArrow(run, schema)
+    return mapped(docs.select(docs[id_col], docs[text].alias("text")), run, schema)
 
 
 def redact(df: DataFrame, text: str = "text", mark: str = "[secret]", scanner: Scanner | None = None, count: str | None = None) -> DataFrame:
@@ -247,4 +247,4 @@ def redact(df: DataFrame, text: str = "text", mark: str = "[secret]", scanner: S
             columns = [*batch.columns[:where], column, *batch.columns[where + 1 :]]
             yield pa.RecordBatch.from_arrays(columns + ([pa.array([len(f) for f in found], pa.int64())] if count else []), names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return mapped(df, run, schema)

@@ -10,52 +10,56 @@ from .common import mix, ragged
 
 _BASE = 0xD1342543DE82EF95
 _VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
-_powers = np.ones(1, np.uint64)
-_inverses = np.ones(1, np.uint64)
+_BLOCK = 1 << 20
 
 
-def _grown(n: int) -> None:
-    global _powers, _inverses
-    if len(_powers) < n:
-        n = max(n, 2 * len(_powers))
-        with np.errstate(over="ignore"):
-            step = np.full(n, _BASE, np.uint64)
-            step[0] = 1
-            _powers = np.cumprod(step)
-            step = np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
-            step[0] = 1
-            _inverses = np.cumprod(step)
+def _powers(base: int, n: int) -> np.ndarray:
+    step = np.full(n, base, np.uint64)
+    step[0] = 1
+    with np.errstate(over="ignore"):
+        return np.cumprod(step)
 
 
-class SpanHasher:
-    """64-bit hashes of any spans of `data`, each in constant time, from one pass of prefix sums of a polynomial."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of `data` with ascending starts, each in constant time, from prefix sums of a polynomial.
 
-    def __init__(self, data: np.ndarray):
-        _grown(len(data) + 1)
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_VALUES[data] * _powers[: len(data)], out=self.sums[1:])
-
-    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        raw = (self.sums[ends] - self.sums[starts]) * _inverses[starts]
-        return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0x8CB92BA72F3D8DD7)) | np.uint64(1)
+    Prefix sums are taken over a block of the data at a time, so what is held doesn't grow with it but for spans as long.
+    """
+    out = np.empty(len(starts), np.uint64)
+    powers = inverses = np.ones(1, np.uint64)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(starts, starts[i] + _BLOCK)))
+        low, high = int(starts[i]), int(ends[i:j].max())
+        if len(powers) <= high - low:
+            powers, inverses = _powers(_BASE, high - low + 1), _powers(pow(_BASE, -1, 1 << 64), high - low + 1)
+        sums = np.zeros(high - low + 1, np.uint64)
+        np.cumsum(_VALUES[data[low:high]] * powers[: high - low], out=sums[1:])
+        s, e = starts[i:j] - low, ends[i:j] - low
+        out[i:j] = (sums[e] - sums[s]) * inverses[s]
+        i = j
+    return mix(out + (ends - starts).astype(np.uint64) * np.uint64(0x8CB92BA72F3D8DD7)) | np.uint64(1)
 
 
 class SpanTable:
-    """What `learn` gave for spans: runs of integers in `flat`, found by hash.
+    """What `learn` gave for spans: runs of integers in `flat`, found by hash; a span's bytes are compared with those learnt.
 
-    learn(data, starts, ends) returns flat integers and their count for each span. `most` spans are kept; beyond that
-    what isn't kept is computed again when it occurs, so that memory is bounded and results are the same.
+    learn(data, starts, ends) returns flat integers and their count for each span. `most` spans are kept, of `most_bytes`
+    in all; beyond that what isn't kept is computed again when it occurs, so that memory is bounded and results are the same.
     """
 
-    def __init__(self, learn: Callable, kind: type, most: int = 400_000):
-        self.learn, self.most = learn, most
+    def __init__(self, learn: Callable, kind: type, most: int = 200_000, most_bytes: int = 8 << 20):
+        self.learn, self.most, self.most_bytes = learn, most, most_bytes
         self.mask = (1 << (2 * most - 1).bit_length()) - 1
         self.keys = np.zeros(self.mask + 1, np.uint64)
         self.slot = np.zeros(self.mask + 1, np.int32)
         self.starts = np.zeros(1 << 14, np.int64)
         self.counts = np.zeros(1 << 14, np.int64)
         self.flat = np.zeros(1 << 16, kind)
-        self.n = self.used = 0
+        self.places = np.zeros(1 << 14, np.int64)
+        self.sizes = np.zeros(1 << 14, np.int64)
+        self.bytes = np.zeros(1 << 16, np.uint8)
+        self.n = self.used = self.held = 0
 
     def _find(self, h: np.ndarray) -> np.ndarray:
         out = np.full(len(h), -1, np.int64)
@@ -78,27 +82,57 @@ class SpanTable:
             self.slot[at[won]] = slot[won]
             h, slot, at = h[~won], slot[~won], (at[~won] + 1) & self.mask
 
-    def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hasher: SpanHasher | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Flat results of all spans, in order, and the count for each span."""
-        h = (hasher or SpanHasher(data))(starts, ends)
+    def _same(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, other: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Whether spans of `data` have the bytes that as many bytes of `other` have at `places`."""
+        differ = np.concatenate([[0], np.cumsum(data[ragged(starts, sizes)] != other[ragged(places, sizes)])])
+        ends = np.cumsum(sizes)
+        return differ[ends] == differ[ends - sizes]
+
+    def _room(self, name: str, n: int) -> None:
+        own = getattr(self, name)
+        if n > len(own):
+            grown = np.zeros(max(n, 2 * len(own)), own.dtype)
+            grown[: len(own)] = own
+            setattr(self, name, grown)
+
+    def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Flat results of all spans (with ascending starts), in order, and the count for each span."""
+        h = span_hashes(data, starts, ends)
         at = self._find(h)
-        missing = np.flatnonzero(at < 0)
+        sizes = ends - starts
+        odd = np.flatnonzero(at >= 0)  # spans that only have another's hash
+        odd = odd[sizes[odd] != self.sizes[at[odd]]]
+        at[odd] = -2
+        hit = np.flatnonzero(at >= 0)
+        at[hit[~self._same(data, starts[hit], sizes[hit], self.bytes, self.places[at[hit]])]] = -2
+        missing = np.flatnonzero(at == -1)
         n, used = self.n, self.used
-        if len(missing):
-            own, first, back = np.unique(h[missing], return_index=True, return_inverse=True)
-            first = missing[first]
-            flat, counts = self.learn(data, starts[first], ends[first])
-            while n + len(own) > len(self.starts):
-                self.starts, self.counts = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.counts, 2 * len(self.counts))
-            while used + len(flat) > len(self.flat):
-                self.flat = np.resize(self.flat, 2 * len(self.flat))
+        own, first, back = np.unique(h[missing], return_index=True, return_inverse=True)
+        first = missing[first]
+        clash = sizes[missing] != sizes[first[back]]
+        even = np.flatnonzero(~clash)
+        clash[even] = ~self._same(data, starts[missing[even]], sizes[missing[even]], data, starts[first[back[even]]])
+        at[missing] = n + back
+        at[missing[clash]] = -2
+        odd = np.flatnonzero(at == -2)
+        at[odd] = n + len(own) + np.arange(len(odd))
+        new = np.concatenate([first, odd])
+        if len(new):
+            flat, counts = self.learn(data, starts[new], ends[new])
+            for name in ("starts", "counts", "sizes", "places"):
+                self._room(name, n + len(new))
+            self._room("flat", used + len(flat))
             self.flat[used : used + len(flat)] = flat
-            self.counts[n : n + len(own)] = counts
-            self.starts[n : n + len(own)] = used + np.cumsum(counts) - counts
-            at[missing] = n + back
-            if n + len(own) <= self.most:
+            self.counts[n : n + len(new)] = counts
+            self.starts[n : n + len(new)] = used + np.cumsum(counts) - counts
+            more = int(sizes[first].sum())
+            if n + len(own) <= self.most and self.held + more <= self.most_bytes:
+                self._room("bytes", self.held + more)
+                self.bytes[self.held : self.held + more] = data[ragged(starts[first], sizes[first])]
+                self.sizes[n : n + len(own)] = sizes[first]
+                self.places[n : n + len(own)] = self.held + np.cumsum(sizes[first]) - sizes[first]
                 self._put(own, np.arange(n, n + len(own)))
-                self.n, self.used = n + len(own), used + len(flat)
+                self.n, self.used, self.held = n + len(own), used + int(counts[: len(own)].sum()), self.held + more
         counts = self.counts[at]
         return self.flat[ragged(self.starts[at], counts)], counts
 

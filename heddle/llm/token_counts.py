@@ -24,8 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import loaded
-from .common import fresh, ragged, slices, utf8
+from .bpe import held_as, loaded
+from .common import fresh, mapped, ragged, slices, utf8
 
 RULES = ("first", "last", "majority", "split")
 
@@ -110,7 +110,7 @@ def section_tokens(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text:
             base = chars[offsets[doc]]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), pa.array(section), pa.array(chars[full[:-1]] - base), pa.array(chars[full[1:]] - base), pa.array(n if rule == "split" else n.astype(np.int64), kind), pa.array(shared.astype(np.int64))], names=out.names)
 
-    return narrow.mapInArrow(run, out)
+    return mapped(narrow, run, out, held_as(tokenizer))
 
 
 def total_tokens(df: DataFrame, tokenizer: str, text: str = "text", out: str = "n_tokens") -> DataFrame:
@@ -121,8 +121,8 @@ def total_tokens(df: DataFrame, tokenizer: str, text: str = "text", out: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(tokenizer)
-        for batch in batches:
+        for batch in slices(batches, text):
             _, at = bpe.encode(*utf8(batch.column(where)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.diff(at))], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return mapped(df, run, schema, held_as(tokenizer))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 from .common import mix
-from .spans import SpanHasher
+from .spans import span_hashes
 
 _DARK = np.ones(256, bool)
 _DARK[[9, 10, 11, 12, 13, 32]] = False
@@ -39,7 +39,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndar
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
     starts, ends, at = words(data, offsets)
-    h = SpanHasher(data)(starts, ends)
+    h = span_hashes(data, starts, ends)
     acc = np.full(max(0, len(h) - width + 1), width, np.uint64)
     for j in range(width):
         acc = mix(acc * _STEP + h[j : j + len(acc)])
