@@ -124,7 +124,7 @@ class Shell(cmd.Cmd):
             for r in df.limit(int(own[1]) if len(own) > 1 else 5).collect():
                 self.say(r[KEY], "=>", {k: v for k, v in r.asDict().items() if k not in (KEY, PART)})
         elif verb == "show":
-            table = {"ds": e.streams, "variables": e.scopes.flat(), "options": e.options, "procedures": e.procedures, "functions": e.functions, "transforms": {**TRANSFORMS, **e.transforms}, "operations": OPERATIONS, "inputs": INPUTS, "outputs": OUTPUTS}
+            table = {"ds": e.streams, "variables": e.plain_values(), "options": e.options, "procedures": e.procedures, "functions": e.functions, "transforms": {**TRANSFORMS, **e.transforms}, "operations": OPERATIONS, "inputs": INPUTS, "outputs": OUTPUTS}
             for k, v in table[rest.lower() or "ds"].items():
                 self.say(k if rest.lower() not in ("variables", "options") else f"{k} = {v}")
         elif verb == "describe":

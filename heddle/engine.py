@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import functions  # noqa: F401
-from .lang.evaluate import Compiler, Evaluator
+from .lang.evaluate import Answer, Compiler, Evaluator
 from .lang.lexer import ScriptError
 from .lang.nodes import Columns, Expr, Invocation, Scope, Statement
 from .lang.parser import parse, parse_expression
@@ -118,7 +118,12 @@ class Engine:
             return os.environ.get(name[4:])
         if name.startswith("OPT:"):
             return self.options.get(name[4:])
-        return self.scopes.get(name)
+        got = self.scopes.get(name)
+        return got.values if isinstance(got, Answer) else got
+
+    def answer(self, name: str) -> Answer | None:
+        got = self.scopes.get(name)
+        return got if isinstance(got, Answer) else None
 
     def plain(self, names_as: str = "text") -> Evaluator:
         runner = Runner(self.functions, self.variable, int(self.options["loop_iteration_limit"]))
@@ -137,7 +142,7 @@ class Engine:
         return py_text(self.loose(e))
 
     def compiler(self, context: RecordContext) -> Compiler:
-        return Compiler(self.plain(), context, self.user_call)
+        return Compiler(self.plain(), context, self.user_call, self.answer)
 
     def user_call(self, e: Expr, at: Compiler, depth: int = 0) -> V | None:
         f = self.functions.get(e.value.upper())
@@ -147,8 +152,14 @@ class Engine:
         try:
             return inlined(f, args, at, depth)
         except NotInline:
-            values = {k: v for k, v in self.scopes.flat().items() if isinstance(v, (str, int, float, bool, list, dict, tuple, type(None)))}
-            return as_udf(f, args, self.functions, values, at.ctx)
+            return as_udf(f, args, self.functions, self.plain_values(f), at.ctx)
+
+    def plain_values(self, user: object = None) -> dict[str, Any]:
+        """Variables that workers or the shell can have; answers of queries only if the code of a user's function or transform may read them."""
+        code = repr((user, self.functions)) if user is not None else None
+        known = {k: v for k, v in self.scopes.flat().items() if not isinstance(v, Answer) or code is None or repr(k) in code}
+        known = {k: v.values if isinstance(v, Answer) else v for k, v in known.items()}
+        return {k: v for k, v in known.items() if isinstance(v, (str, int, float, bool, list, dict, tuple, type(None)))}
 
     def evaluate(self, expression: str) -> Any:
         return self.param(parse_expression(expression))
@@ -216,7 +227,7 @@ class Engine:
         parts = int(self.loose(s.parts)) if s.parts is not None else None
         if parts is not None and parts < 1:
             raise ScriptError("PARTITION needs a positive number")
-        params = {**verb.configured(self.given(s.call)), "__parts": parts}
+        params = {**verb.configured(self.given(s.call)), "__parts": parts, "__by": s.by}
         columns = self.columns(s.columns)
         found = {f"{name}/{k}": p for k, p in sorted(adapters.subfolders(self.spark, path).items())} if s.star else {name: path}
         for n, p in found.items():
@@ -267,7 +278,7 @@ class Engine:
                 raise ScriptError(f"{call.verb} doesn't take {s.kind}")
             given = self.given(call)
             params = {p.name: given.get(p.name, self.param(p.default) if p.default is not None else None) for p in user.params}
-            return transformed(user, s, params, columns, self.functions, {k: v for k, v in self.scopes.flat().items() if isinstance(v, (str, int, float, bool, list, dict, type(None)))}, int(self.options["loop_iteration_limit"]))
+            return transformed(user, s, params, columns, self.functions, self.plain_values(user), int(self.options["loop_iteration_limit"]))
         verb = TRANSFORMS.get(call.verb.lower())
         if verb is None:
             raise ScriptError(f"unknown transform {call.verb}")
@@ -319,7 +330,7 @@ class Engine:
             c = self.compiler(RecordContext(out))
             df = out.df
             if s.where is not None and s.level in (None, out.level, "value"):
-                df = df.filter(F.coalesce(truth(c.value(s.where)), F.lit(False)))
+                df = df.filter(c.condition(s.where))
             elif s.where is not None:
                 df = df.filter(F.lit(False))
             if s.items is not None:
@@ -362,7 +373,7 @@ class Engine:
         df = out.df
         if s.where is not None:
             if level in ("track", "value"):
-                df = df.filter(F.coalesce(truth(self.compiler(RecordContext(out)).value(s.where)), F.lit(False)))
+                df = df.filter(self.compiler(RecordContext(out)).condition(s.where))
             else:
                 passes = lambda names: lambda x: F.coalesce(truth(self.compiler(StructContext(out, x, names)).value(s.where)), F.lit(False))
                 if level == "segment":
@@ -401,19 +412,20 @@ class Engine:
             self.scopes.set(s.name, value)
 
     def do_let_query(self, s: Statement) -> None:
-        """The values of one expression as an array; what a script asks for is brought to the driver."""
+        """The values of one expression as an array. Filters join with it; it is brought to the driver where a script reads it, or samples it."""
         source = self.read(s.scope, "query")
         c = self.compiler(RecordContext(source))
         df = source.df
         if s.where is not None:
-            df = df.filter(F.coalesce(truth(c.value(s.where)), F.lit(False)))
+            df = df.filter(c.condition(s.where))
         v = c.value(s.item.expr)
-        df = df.select((text(v) if v.t == "var" else v.c).alias("v"))
+        df = df.select((text(v) if v.t == "var" else v.c.cast("string") if v.t == "null" else v.c).alias("v"))
         if s.distinct:
             df = df.dropDuplicates()
         if s.limit is not None:
             df = relational.sampled(df, float(self.loose(s.limit[0])), s.limit[1], bool(self.options["exact_limit"]))
-        self.scopes.set(s.name, [r["v"] for r in df.collect()])
+        got = Answer(df, "str" if v.t in ("var", "null") else v.t)
+        self.scopes.set(s.name, got if s.limit is None else got.values)
 
     def do_loop(self, s: Statement) -> None:
         over = self.loose(s.over)

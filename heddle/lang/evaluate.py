@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable
+from functools import cached_property
 from typing import Any
 
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import FUNCTIONS
 from ..functions.records import navigate
-from ..operators.scalar import NUMERIC, OPERATORS, V, digest, double, java_pattern, py_number, py_text, text
+from ..operators.scalar import NUMERIC, OPERATORS, V, digest, double, equal, java_pattern, py_number, py_text, text, truth
 from ..stream import RecordContext
 from .lexer import ScriptError
 from .nodes import Expr
@@ -44,6 +47,32 @@ def literal(v: Any) -> V:
     return V(F.lit(v), "str")
 
 
+class Answer:
+    """The values of a query (column v of type t), brought to the driver only where a script reads them."""
+
+    def __init__(self, df: DataFrame, t: str):
+        self.df, self.t = df, t
+
+    @cached_property
+    def values(self) -> list:
+        return [r["v"] for r in self.df.collect()]
+
+    def among(self, x: V) -> Column:
+        """Whether a record's value is one of them, for filters: a semi-join, or an existence join where it is negated. Null if the value is."""
+        found, v = self.df.filter("v is not null"), F.col("v")
+        if x.t in NUMERIC:
+            if self.t not in NUMERIC:
+                return F.lit(False)
+            if x.t == "double":
+                return x.c.isin(found.select(v.cast("double")))
+            if self.t == "double":
+                found = found.filter((v == F.floor(v)) & (F.abs(v) < 2.0**63))
+            return x.c.cast("long").isin(found.select(v.cast("long")))
+        if x.t == "str" and self.t != "str":
+            return F.lit(False)
+        return text(x).isin(found.select(v.cast("string")))
+
+
 class Evaluator:
     """Plain values. variables: a lookup by name. names_as: what a bare name stands for ('text', 'attr' or 'error')."""
 
@@ -130,8 +159,8 @@ class Evaluator:
 class Compiler:
     """Columns. Variables are literals of the plan; user functions are inlined or become UDFs."""
 
-    def __init__(self, plain: Evaluator, context: RecordContext, user: Callable | None = None):
-        self.plain, self.ctx, self.user = plain, context, user
+    def __init__(self, plain: Evaluator, context: RecordContext, user: Callable | None = None, answer: Callable[[str], Answer | None] | None = None):
+        self.plain, self.ctx, self.user, self.answer, self.filtering = plain, context, user, answer, False
 
     def literal_text(self, e: Expr) -> str | None:
         return py_text(self.plain.value(e)) if e.kind in ("text", "literal", "var") and self.plain.value(e) is not None else None
@@ -154,13 +183,41 @@ class Compiler:
             empty = x.c.isNull() | F.is_variant_null(x.c) if x.t == "var" else x.c.isNull()
             return V(~empty if e.negated else empty, "bool")
         if k == "between":
-            x = double(self.value(e.args[0]))
-            got = x.between(*map(float, e.value))
+            x = self.value(e.args[0])
+            low, high = e.value
+            if x.t in ("int", "long") and max(abs(low), abs(high)) < 2**62:
+                got = x.c.between(math.ceil(low), math.floor(high))
+            else:
+                got = double(x).between(float(low), float(high))
             return V(~got if e.negated else got, "bool")
         if k == "op":
             return self.operation(e)
         return self.call(e)
 
+    def condition(self, e: Expr) -> Column:
+        """A filter that passes what `e` is true of. A filter drops null, too, so tests stay bare where they aren't negated, and reach the source."""
+        self.filtering = True
+        try:
+            return self._condition(e)
+        finally:
+            self.filtering = False
+
+    def _condition(self, e: Expr) -> Column:
+        if e.kind == "op" and not e.negated and len(e.args) == 2:
+            if e.value in ("AND", "OR"):
+                a, b = (self._condition(x) for x in e.args)
+                return a & b if e.value == "AND" else a | b
+            if e.value in ("=", "=="):
+                return equal(*(self.value(x) for x in e.args))
+            if e.value in ("!=", "<>"):
+                a, b = (self.value(x) for x in e.args)
+                if {a.t, b.t} <= set(NUMERIC) or a.t == b.t in ("str", "bool", "ts"):
+                    return ~equal(a, b)
+            if e.value == "IN" and e.args[1].kind in ("var", "array", "names"):
+                got = self.membership(e, bare=True)
+                return truth(got)
+        return truth(self.value(e))
+
     def operation(self, e: Expr) -> V:
         op = OPERATORS[e.value, len(e.args)]
         if e.value in ("LIKE", "MATCH", "REGEX", "REGEXP") and (pattern := self.literal_text(e.args[1])) is not None:
@@ -178,17 +235,27 @@ class Compiler:
             got = V(F.lit(None).cast("boolean" if got.t == "bool" else "double" if got.t in NUMERIC else "string"), got.t)
         return V(~got.c, "bool") if e.negated else got
 
-    def membership(self, e: Expr) -> V:
+    def membership(self, e: Expr, bare: bool = False) -> V:
+        """bare: null where the value is null, for filters."""
+        if self.filtering and self.answer is not None and e.args[1].kind == "var" and (found := self.answer(e.args[1].value)) is not None:
+            got = found.among(self.value(e.args[0]))
+            got = got if bare else F.coalesce(got, F.lit(False))
+            return V(~got if e.negated else got, "bool")
         own = self.plain.value(e.args[1])
         own = list(own) if isinstance(own, (list, tuple)) else [] if own is None else [own]
         x = self.value(e.args[0])
         if x.t in NUMERIC:
-            kept = [float(y) for y in own if isinstance(y, (int, float)) and not isinstance(y, bool)]
-            got = F.coalesce(double(x).isin(kept), F.lit(False)) if kept else F.lit(False)
+            kept = [y for y in own if isinstance(y, (int, float)) and not isinstance(y, bool)]
+            if x.t == "double":
+                got = x.c.isin([float(y) for y in kept])
+            else:
+                kept = [int(y) for y in kept if y == y and abs(y) < 2**63 and y == int(y)]
+                got = x.c.isin(kept)
         else:
             strict = x.t != "str"
             kept = [py_text(y) for y in own if y is not None and (strict or isinstance(y, str))]
-            got = F.coalesce(text(x).isin(kept), F.lit(False)) if kept else F.lit(False)
+            got = text(x).isin(kept)
+        got = F.lit(False) if not kept else got if bare else F.coalesce(got, F.lit(False))
         return V(~got if e.negated else got, "bool")
 
     def call(self, e: Expr) -> V:

@@ -139,7 +139,7 @@ def _py_long(f: Callable) -> Callable:
 def _py_compare(f: Callable) -> Callable:
     def run(a: object, b: object) -> object:
         x, y = py_number(a), py_number(b)
-        return None if x is None or y is None else f(float(x), float(y))
+        return None if x is None or y is None else f(x, y) if isinstance(x, int) and isinstance(y, int) else f(float(x), float(y))
 
     return run
 
@@ -149,16 +149,28 @@ def py_equal(a: object, b: object) -> bool:
         return isinstance(b, (bool, str)) and a == py_truth(b)
     if isinstance(a, (int, float)):
         y = py_number(b)
-        return y is not None and float(a) == float(y)
+        return y is not None and (a == y if isinstance(a, int) and isinstance(y, int) else float(a) == float(y))
     if isinstance(a, (list, tuple)):
         return isinstance(b, (list, tuple)) and len(a) == len(b) and all(py_equal(x, y) for x, y in zip(a, b, strict=True))
     return type(a) is type(b) and a == b
 
 
+def ordered(f: Callable) -> Callable:
+    """A comparison of numbers: of integers as such, of others as doubles."""
+
+    def run(a: V, b: V) -> Column:
+        x, y, _ = promoted(a, b)
+        return f(x, y)
+
+    return run
+
+
 def equal(a: V, b: V) -> Column:
-    """Directed by the left type: numbers compare with what parses as one, else types must agree."""
+    """Directed by the left type: numbers compare with what parses as one (integers with integers as such), else types must agree. Null if unknown."""
+    if a.t in ("int", "long") and b.t == "str":
+        return F.coalesce(a.c == b.c.try_cast("long"), double(a) == double(b))
     if a.t in NUMERIC:
-        return F.coalesce(double(a) == double(b), F.lit(False))
+        return ordered(lambda x, y: x == y)(a, b)
     if a.t == "bool":
         return a.c == truth(b) if b.t in ("bool", "str", "var") else F.lit(False)
     if a.t == "arr":
@@ -300,6 +312,9 @@ def contains(a: V, b: V) -> Column:
     if b.t == "null" or a.t == "null":
         return F.lit(False)
     own = array(b)
+    if a.t in ("int", "long"):
+        exact = "decimal(38,18)"
+        return F.coalesce(F.array_contains(F.transform(own, lambda x: x.try_cast(exact)), a.c.cast(exact)), F.lit(False))
     if a.t in NUMERIC:
         own = F.transform(own, lambda x: x.try_cast("double"))
         return F.coalesce(F.array_contains(own, double(a)), F.lit(False))
@@ -372,10 +387,10 @@ operator("=", 40, lambda a, b: V(F.coalesce(equal(a, b), F.lit(False)), "bool"),
 operator("==", 40, lambda a, b: V(F.when(a.c.isNotNull() & b.c.isNotNull(), equal(a, b)), "bool"), py_equal)
 operator("!=", 40, lambda a, b: V(F.coalesce(a.c.isNotNull() & b.c.isNotNull() & ~F.coalesce(equal(a, b), F.lit(False)), F.lit(False)), "bool"), lambda a, b: a is not None and b is not None and not py_equal(a, b), sees_null=True)
 operator("<>", 40, lambda a, b: V(F.when(a.c.isNotNull() & b.c.isNotNull(), ~F.coalesce(equal(a, b), F.lit(False))), "bool"), lambda a, b: not py_equal(a, b))
-operator(">", 40, lambda a, b: V(double(a) > double(b), "bool"), _py_compare(lambda x, y: x > y))
-operator(">=", 40, lambda a, b: V(double(a) >= double(b), "bool"), _py_compare(lambda x, y: x >= y))
-operator("<", 40, lambda a, b: V(double(a) < double(b), "bool"), _py_compare(lambda x, y: x < y))
-operator("<=", 40, lambda a, b: V(double(a) <= double(b), "bool"), _py_compare(lambda x, y: x <= y))
+operator(">", 40, _typed(ordered(lambda x, y: x > y), "bool"), _py_compare(lambda x, y: x > y))
+operator(">=", 40, _typed(ordered(lambda x, y: x >= y), "bool"), _py_compare(lambda x, y: x >= y))
+operator("<", 40, _typed(ordered(lambda x, y: x < y), "bool"), _py_compare(lambda x, y: x < y))
+operator("<=", 40, _typed(ordered(lambda x, y: x <= y), "bool"), _py_compare(lambda x, y: x <= y))
 operator("LIKE MATCH REGEX REGEXP", 40, _typed(_like, "bool"), py_like)
 operator("DIGEST HASH", 40, lambda a, b: V(digest(text(a), "md5"), "str"), lambda a, b: hashlib.new(digest_name(py_text(b)), py_text(a).encode()).hexdigest())
 operator("|", 105, lambda a, b: V(long(a).bitwiseOR(long(b)), "long"), _py_long(lambda x, y: x | y))

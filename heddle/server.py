@@ -71,7 +71,7 @@ class Endpoints:
         return self.engine.options
 
     def at_variables(self, query: dict[str, str], body: str) -> Any:
-        return self.engine.scopes.flat()
+        return self.engine.plain_values()
 
     @staticmethod
     def rows(df: Any, limit: int) -> list[Any]:

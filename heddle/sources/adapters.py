@@ -53,12 +53,13 @@ def keyed(df: DataFrame, by: str) -> DataFrame:
     return df.withColumn(KEY, key).drop("__source")
 
 
-def _source() -> Column:
-    return F.col("_metadata.file_path").alias("__source")
+def _source(params: dict[str, Any]) -> list[Column]:
+    """The file of a record, where keys are made of it."""
+    return [F.col("_metadata.file_path").alias("__source")] if params.get("__by") == "SOURCE" else []
 
 
 def _text(spark: SparkSession, path: str, params: dict[str, Any], columns: list[str]) -> tuple[DataFrame, str, list[str]]:
-    return spark.read.text(paths_of(path)).select(VALUE, _source()), "text", []
+    return spark.read.text(paths_of(path)).select(VALUE, *_source(params)), "text", []
 
 
 def _csv(spark: SparkSession, path: str, params: dict[str, Any], columns: list[str]) -> tuple[DataFrame, str, list[str]]:
@@ -66,26 +67,26 @@ def _csv(spark: SparkSession, path: str, params: dict[str, Any], columns: list[s
     if params["schema_from_file"]:
         df = reader.option("header", "true").csv(paths_of(path))
         names = columns or df.columns
-        return df.select(*[F.col(quoted(n)) for n in names], _source()), "columnar", names
+        return df.select(*[F.col(quoted(n)) for n in names], *_source(params)), "columnar", names
     if not columns:
         raise ScriptError("columns are needed, or @schema_from_file=TRUE")
     schema = ", ".join(f"`c{i}` string" for i in range(len(columns)))
     kept = [(i, n) for i, n in enumerate(columns) if n != "_"]
     df = reader.schema(schema).csv(paths_of(path))
-    return df.select(*[F.col(f"c{i}").alias(n) for i, n in kept], _source()), "columnar", [n for _, n in kept]
+    return df.select(*[F.col(f"c{i}").alias(n) for i, n in kept], *_source(params)), "columnar", [n for _, n in kept]
 
 
 def _parquet(spark: SparkSession, path: str, params: dict[str, Any], columns: list[str]) -> tuple[DataFrame, str, list[str]]:
     df = spark.read.parquet(*paths_of(path))
     names = [c for c in columns if c != "_"] or df.columns
     own = [F.col(quoted(n)).cast("string").alias(n) if params["as_text"] else F.col(quoted(n)) for n in names]
-    return df.select(*own, _source()), "columnar", names
+    return df.select(*own, *_source(params)), "columnar", names
 
 
 def _parquet_structured(spark: SparkSession, path: str, params: dict[str, Any], columns: list[str]) -> tuple[DataFrame, str, list[str]]:
     df = spark.read.parquet(*paths_of(path))
     names = columns or df.columns
-    return df.select(F.to_variant_object(F.struct(*[F.col(quoted(n)) for n in names])).alias(OBJECT), _source()), "structured", names
+    return df.select(F.to_variant_object(F.struct(*[F.col(quoted(n)) for n in names])).alias(OBJECT), *_source(params)), "structured", names
 
 
 def _jdbc(spark: SparkSession, path: str, params: dict[str, Any], columns: list[str]) -> tuple[DataFrame, str, list[str]]:
@@ -125,7 +126,7 @@ def _s3_text(spark: SparkSession, path: str, params: dict[str, Any], columns: li
 def _s3_columnar(spark: SparkSession, path: str, params: dict[str, Any], columns: list[str]) -> tuple[DataFrame, str, list[str]]:
     with_keys(spark, params)
     if path.rstrip("/*").endswith(".parquet"):
-        return _parquet(spark, s3_path(path), {"as_text": True}, columns)
+        return _parquet(spark, s3_path(path), {**params, "as_text": True}, columns)
     return _csv(spark, s3_path(path), params, columns)
 
 
