@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import spatial as sp
 from ..geo import geodesic
 from ..lang.lexer import ScriptError
-from ..stream import GEO, KEY, RecordContext, Stream, quoted
+from ..stream import GEO, KEY, OBJECT, RecordContext, Stream, quoted
 from .analytics import Streams
 from .registry import SPATIAL, operation
 from .scalar import text
@@ -111,23 +111,39 @@ def track_stats(inputs: Streams, params: dict[str, Any]) -> Streams:
 
 
 # -- spatial joins
-def cell_of(lat: Column, lon: Column, size: float) -> Column:
-    return F.struct(F.floor(lat / size).alias("y"), F.floor(lon / size).alias("x"))
+#: Grids by level: level k has cells of 360 / 2^k degrees.
+_COARSE, _FINE = 3, 20
 
 
-def cells_over(low_lat: Column, high_lat: Column, low_lon: Column, high_lon: Column, size: float) -> Column:
-    """All cells of a box; a box over the date line is two ranges of longitudes."""
-    ys = F.sequence(F.floor(low_lat / size), F.floor(high_lat / size))
-    width = round(360 / size)
-    start = round(-180 / size)
-    xs = F.array_distinct(F.transform(F.sequence(F.floor(low_lon / size), F.floor(high_lon / size)), lambda x: F.pmod(x - start, F.lit(width)) + start))
-    return F.flatten(F.transform(ys, lambda y: F.transform(xs, lambda x: F.struct(y.alias("y"), x.alias("x")))))
+def level_of(extent: Column) -> Column:
+    """The finest grid whose cells are at least as large as a shape's extent, so that a shape of any size lies in few cells."""
+    fits = F.floor(F.log2(F.lit(360.0) / F.greatest(extent, F.lit(360.0 / 2**_FINE))))
+    return F.greatest(F.lit(_COARSE), F.least(F.lit(_FINE), fits)).cast("int")
 
 
-def grid_size(extent: float | None) -> float:
-    """A cell side, in degrees that divide the circle, of about the largest extent, so that a shape lies in few cells."""
-    want = min(max((extent or 0.0), 0.001), 45.0)
-    return 360 / max(8, int(360 / want))
+def _across(level: Column) -> Column:
+    return F.pow(F.lit(2.0), level).cast("long")
+
+
+def cell_of(lat: Column, lon: Column, level: Column) -> Column:
+    size = F.lit(360.0) / _across(level)
+    return F.struct(level.alias("k"), F.floor((lat + 90) / size).alias("y"), F.pmod(F.floor((lon + 180) / size), _across(level)).alias("x"))
+
+
+def cells_over(low_lat: Column, high_lat: Column, low_lon: Column, high_lon: Column, level: Column) -> Column:
+    """All cells of a box; longitudes may go on beyond the date line."""
+    size = F.lit(360.0) / _across(level)
+    ys = F.sequence(F.floor((low_lat + 90) / size), F.floor((high_lat + 90) / size))
+    xs = F.array_distinct(F.transform(F.sequence(F.floor((low_lon + 180) / size), F.floor((high_lon + 180) / size)), lambda x: F.pmod(x, _across(level))))
+    return F.flatten(F.transform(ys, lambda y: F.transform(xs, lambda x: F.struct(level.alias("k"), y.alias("y"), x.alias("x")))))
+
+
+def with_cells(points: DataFrame, shapes: DataFrame) -> DataFrame:
+    """Points once for each level that shapes have (18 at most), with their cell."""
+    levels = sorted(r["__level"] for r in shapes.select("__level").distinct().collect())
+    at = F.explode(F.array(*[F.lit(k) for k in levels])) if levels else F.explode(F.array().cast("array<int>"))
+    points = points.withColumn("__k", at)
+    return points.withColumn("__cell", cell_of(F.col("__at")["lat"], F.col("__at")["lon"], F.col("__k"))).drop("__k")
 
 
 def _merged(points: Stream, shapes: Stream, hits: DataFrame, more: list[str]) -> tuple[DataFrame, list[str]]:
@@ -137,8 +153,15 @@ def _merged(points: Stream, shapes: Stream, hits: DataFrame, more: list[str]) ->
     return hits.select(F.col("__pkey").alias(KEY), F.col("__pgeo").alias(GEO), *[c.alias(n) for c, n in zip(own, names, strict=True)]), names
 
 
+def _record_hash(df: DataFrame) -> Column:
+    """128 bits that equal records share and, but for chance, no others."""
+    own = [F.to_json(c) if c == OBJECT or "map<" in df.schema[c].dataType.simpleString() else F.col(quoted(c)) for c in df.columns]
+    return F.struct(F.xxhash64(*own).alias("a"), F.xxhash64(F.lit(17), *own).alias("b"))
+
+
 def _sides(points: Stream, shapes: Stream) -> tuple[DataFrame, DataFrame]:
-    p = points.df.select(F.col(KEY).alias("__pkey"), F.col(GEO).alias("__pgeo"), F.xxhash64(*[F.col(quoted(c)) if c != "_object" else F.to_json(c) for c in points.df.columns]).alias("__pid"), *[F.col(quoted(c)).alias(f"p.{c}") for c in points.columns])
+    centre = _centre(points)
+    p = points.df.select(F.col(KEY).alias("__pkey"), F.col(GEO).alias("__pgeo"), _record_hash(points.df).alias("__pid"), centre.alias("__at"), *[F.col(quoted(c)).alias(f"p.{c}") for c in points.columns])
     s = shapes.df.select(F.col(GEO).alias("__sgeo"), *[F.col(quoted(c)).alias(f"s.{c}") for c in shapes.columns])
     return p, s
 
@@ -165,56 +188,53 @@ def in_ring(ring: Column, lat: Column, lon: Column) -> Column:
     return F.when(n > 0, crossings % 2 == 1).otherwise(F.lit(False))
 
 
-def _outcome(points: Stream, shapes: Stream, hits: DataFrame, mode: str, what: str, more: list[str], order: Column) -> Streams:
-    """target: hits by mode (ONCE: one for each point); evicted: points without any."""
-    p, _ = _sides(points, shapes)
-    if mode == "ONCE":
-        hits = hits.dropDuplicates(["__pid"]) if order is None else hits.groupBy("__pid").agg(F.min_by(F.struct("*"), order).alias("h")).select("h.*")
-    df, names = _merged(points, shapes, hits, more)
-    target = points.made("FILTERED", what, df=df, attrs={**points.attrs, points.level: names})
-    missed = p.join(hits.select("__pid").distinct(), "__pid", "left_anti").select(F.col("__pkey").alias(KEY), F.col("__pgeo").alias(GEO), *[F.col(quoted(f"p.{c}")).alias(c) for c in points.columns])
-    return {"target": target, "evicted": points.made("FILTERED", what, df=missed)}
+def _outcome(points: Stream, shapes: Stream, hits: DataFrame, mode: str, what: str, more: list[str]) -> Streams:
+    """target: for COPY each hit, with the attributes of both; else the points that have one, as they are. evicted: the other points.
+
+    Equal points are hit alike, so joins on the hash of the record keep each of them.
+    """
+    own = points.df.withColumn("__pid", _record_hash(points.df))
+    found = hits.select("__pid").distinct()
+    if mode == "COPY":
+        df, names = _merged(points, shapes, hits, more)
+        target = points.made("FILTERED", what, df=df, attrs={**points.attrs, points.level: names})
+    else:
+        target = points.made("FILTERED", what, df=own.join(found, "__pid", "left_semi").drop("__pid"))
+    return {"target": target, "evicted": points.made("FILTERED", what, df=own.join(found, "__pid", "left_anti").drop("__pid"))}
 
 
 @operation("areaCovers", {"points": SPATIAL, "polygons": ("polygon",)}, outputs=("target", "evicted"), optional=("evicted",), encounter_mode=("ONCE|COPY", "COPY"))
 def area_covers(inputs: Streams, params: dict[str, Any]) -> Streams:
-    """Points (or centroids) in polygons: an equi-join on the cells of a grid, then the exact test."""
+    """Points (or centroids) in polygons: an equi-join on the cells of grids, then the exact test."""
     points, shapes = inputs["points"], inputs["polygons"]
     p, s = _sides(points, shapes)
     shell = F.col("__sgeo")["shell"]
     box = {"__s": F.array_min(F.transform(shell, lambda x: x["lat"])), "__n": F.array_max(F.transform(shell, lambda x: x["lat"])), "__w": F.array_min(F.transform(shell, lambda x: x["lon"])), "__e": F.array_max(F.transform(shell, lambda x: x["lon"]))}
-    s = s.withColumns(box)
-    # the size of a cell is near the mean extent: cells of a large shape are many, but never more than its box has
-    size = grid_size(s.agg(F.avg(F.greatest(F.col("__n") - F.col("__s"), F.col("__e") - F.col("__w")))).first()[0])
-    s = s.withColumn("__cell", F.explode(cells_over(F.col("__s"), F.col("__n"), F.col("__w"), F.col("__e"), size)))
-    centre = _centre(points)
-    p = p.join(points.df.select(F.xxhash64(*[F.col(quoted(c)) for c in points.df.columns]).alias("__pid"), centre.alias("__at")).dropDuplicates(["__pid"]), "__pid") if points.kind != "point" else p.withColumn("__at", F.struct(F.col("__pgeo")["lat"].alias("lat"), F.col("__pgeo")["lon"].alias("lon")))
-    p = p.withColumn("__cell", cell_of(F.col("__at")["lat"], F.col("__at")["lon"], size))
+    s = s.withColumns(box).filter("__n is not null and __e is not null")
+    s = s.withColumn("__level", level_of(F.greatest(F.col("__n") - F.col("__s"), F.col("__e") - F.col("__w"))))
+    p = with_cells(p, s)
+    s = s.withColumn("__cell", F.explode(cells_over(F.col("__s"), F.col("__n"), F.col("__w"), F.col("__e"), F.col("__level"))))
     lat, lon = F.col("__at")["lat"], F.col("__at")["lon"]
     inside = in_ring(F.col("__sgeo")["shell"], lat, lon) & ~F.exists(F.col("__sgeo")["holes"], lambda h: in_ring(h, lat, lon))
     hits = p.join(s, "__cell").filter(lat.between(F.col("__s"), F.col("__n")) & lon.between(F.col("__w"), F.col("__e")) & inside)
-    return _outcome(points, shapes, hits, params["encounter_mode"], "areaCovers", [], F.to_json(F.col("__sgeo")))
+    return _outcome(points, shapes, hits, params["encounter_mode"], "areaCovers", [])
 
 
 @operation("proximity", {"points": SPATIAL, "pois": ("point",)}, outputs=("target", "evicted"), optional=("evicted",), encounter_mode=("ONCE|COPY|ALL", "COPY"))
 def proximity(inputs: Streams, params: dict[str, Any]) -> Streams:
-    """Points within the radius of points of interest: cells of a grid, then geodesic distances."""
+    """Points within the radius of points of interest: cells of grids, then geodesic distances. ALL: near every one of them."""
     points, pois = inputs["points"], inputs["pois"]
     p, s = _sides(points, pois)
-    s = s.withColumns({"__lat": F.col("__sgeo")["lat"], "__lon": F.col("__sgeo")["lon"], "__r": F.col("__sgeo")["radius"]}).filter(F.col("__r") >= 0)
-    size = grid_size((s.agg(F.avg("__r")).first()[0] or 0.0) * 2 / _METRES)
+    s = s.withColumns({"__lat": F.col("__sgeo")["lat"], "__lon": F.col("__sgeo")["lon"], "__r": F.col("__sgeo")["radius"], "__sid": F.xxhash64(F.to_json("__sgeo"))}).filter(F.col("__r") >= 0)
     up = F.col("__r") / _METRES
     side = F.least(up / F.greatest(F.cos(F.radians(F.least(F.abs(F.col("__lat")) + up, F.lit(89.9)))), F.lit(0.001)), F.lit(180.0))
-    s = s.withColumn("__cell", F.explode(cells_over(F.greatest(F.col("__lat") - up, F.lit(-90.0)), F.least(F.col("__lat") + up, F.lit(90.0)), F.col("__lon") - side, F.col("__lon") + side, size)))
-    if points.kind == "point":
-        p = p.withColumn("__at", F.struct(F.col("__pgeo")["lat"].alias("lat"), F.col("__pgeo")["lon"].alias("lon")))
-    else:
-        p = p.join(points.df.select(F.xxhash64(*[F.col(quoted(c)) for c in points.df.columns]).alias("__pid"), _centre(points).alias("__at")).dropDuplicates(["__pid"]), "__pid")
-    p = p.withColumn("__cell", cell_of(F.col("__at")["lat"], F.col("__at")["lon"], size))
-    hits = p.join(s, "__cell").withColumn("_distance", sp.distance_udf(F.col("__at")["lat"], F.col("__at")["lon"], "__lat", "__lon")).filter(F.col("_distance") <= F.col("__r"))
+    s = s.withColumn("__level", level_of(2 * F.greatest(up, side)))
+    p = with_cells(p, s)
+    near = s.withColumn("__cell", F.explode(cells_over(F.greatest(F.col("__lat") - up, F.lit(-90.0)), F.least(F.col("__lat") + up, F.lit(90.0)), F.col("__lon") - side, F.col("__lon") + side, F.col("__level"))))
+    hits = p.join(near, "__cell").withColumn("_distance", sp.distance_udf(F.col("__at")["lat"], F.col("__at")["lon"], "__lat", "__lon")).filter(F.col("_distance") <= F.col("__r"))
     if params["encounter_mode"] == "ALL":
-        need = pois.df.count()
-        near = hits.groupBy("__pid").agg(F.count("*").alias("n")).filter(F.col("n") >= need).select("__pid")
-        hits = hits.join(near, "__pid", "left_semi").dropDuplicates(["__pid"])
-    more = [] if params["encounter_mode"] == "ALL" else ["_distance"]
-    return _outcome(points, pois, hits, params["encounter_mode"], "proximity", more, F.col("_distance"))
+        # places (centre and radius) count once on both sides, however many points of interest share one; one without a radius is near nothing
+        whole = pois.df.agg(F.count_distinct(F.to_json(GEO)).alias("n"), F.min(F.coalesce(F.col(GEO)["radius"] >= 0, F.lit(False))).alias("all")).first()
+        need = whole["n"] if whole["all"] else -1
+        hits = hits.select("__pid", "__sid").distinct().groupBy("__pid").agg(F.count("*").alias("n")).filter(F.col("n") == need)
+    return _outcome(points, pois, hits, params["encounter_mode"], "proximity", ["_distance"])

@@ -384,7 +384,7 @@ operator("AND", 20, lambda a, b: V(F.when(truth(a).isNotNull() & truth(b).isNotN
 operator("NOT", 30, lambda a: V(~truth(a), "bool"), lambda a: not py_truth(a), prefix=True, right=True)
 operator("IN", 35, _typed(contains, "bool"), py_in, sees_null=True)
 operator("=", 40, lambda a, b: V(F.coalesce(equal(a, b), F.lit(False)), "bool"), lambda a, b: a is not None and b is not None and py_equal(a, b), sees_null=True)
-operator("==", 40, lambda a, b: V(F.when(a.c.isNotNull() & b.c.isNotNull(), equal(a, b)), "bool"), py_equal)
+operator("==", 40, lambda a, b: V(F.when(a.c.isNotNull() & b.c.isNotNull(), F.coalesce(equal(a, b), F.lit(False))), "bool"), py_equal)
 operator("!=", 40, lambda a, b: V(F.coalesce(a.c.isNotNull() & b.c.isNotNull() & ~F.coalesce(equal(a, b), F.lit(False)), F.lit(False)), "bool"), lambda a, b: a is not None and b is not None and not py_equal(a, b), sees_null=True)
 operator("<>", 40, lambda a, b: V(F.when(a.c.isNotNull() & b.c.isNotNull(), ~F.coalesce(equal(a, b), F.lit(False))), "bool"), lambda a, b: not py_equal(a, b))
 operator(">", 40, _typed(ordered(lambda x, y: x > y), "bool"), _py_compare(lambda x, y: x > y))

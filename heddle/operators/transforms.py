@@ -133,8 +133,8 @@ def columnar_to_track(s: Stream, params: dict[str, Any], columns: Columns) -> St
     parts = rows.groupBy("user", "part").agg(F.first("track").alias("track"), F.sort_array(F.collect_list(F.struct("ts", F.col("point")["lat"].alias("lat"), F.col("point")["lon"].alias("lon"), F.map_entries(F.col("point")["props"]).alias("props")))).alias("points"))
     points = F.transform("points", lambda p: F.struct(p["lat"].alias("lat"), p["lon"].alias("lon"), F.map_from_entries(p["props"]).alias("props")))
     segment = F.struct(F.col("part"), F.create_map(F.lit("_userid"), F.col("user"), F.lit("_trackid"), F.col("track")).alias("props"), points.alias("points"))
-    whole = parts.select("user", segment.alias("g")).groupBy("user").agg(F.array_sort(F.collect_list(F.struct(F.col("g")["part"].alias("part"), F.to_json(F.col("g")["props"]).alias("props"), F.to_json(F.col("g")["points"]).alias("points")))).alias("g"))
-    segments = F.transform("g", lambda g: F.struct(F.from_json(g["props"], "map<string,string>").alias("props"), F.from_json(g["points"], "array<struct<lat:double,lon:double,props:map<string,string>>>").alias("points")))
+    whole = parts.select("user", segment.alias("g")).groupBy("user").agg(F.array_sort(F.collect_list("g"), lambda a, b: (a["part"] - b["part"]).cast("int")).alias("g"))
+    segments = F.transform("g", lambda g: F.struct(g["props"].alias("props"), g["points"].alias("points")))
     df = whole.select(F.col("user").alias(KEY), F.struct(segments.alias("segments")).alias(GEO), F.col("user").alias("_userid"))
     return _made(s, "columnarToTrack", df, "track", {"track": ["_userid"], "segment": ["_userid", "_trackid"], "point": [*names, "_ts"]})
 
@@ -197,7 +197,7 @@ def geojson_to_road_map(s: Stream, params: dict[str, Any], columns: Columns) ->
     for t, m in params["type_multiplier_"].items():
         factor = F.when(kind == t, F.lit(m)).otherwise(factor)
     lines = F.when(F.col("t") == "LineString", F.array(F.from_json("c", "array<array<double>>"))).otherwise(F.from_json("c", "array<array<array<double>>>"))
-    rows = rows.filter(kind.isin(params["road_types"])).select(*_keep(s), "p", (width * F.coalesce(factor, F.lit(1.0)) / 2).alias("half"), F.explode(lines).alias("line")).filter("half is not null")
+    rows = rows.filter(kind.isin(params["road_types"])).select(*_keep(s), "p", (width * F.coalesce(factor, F.lit(1.0)) / 2).alias("half"), F.explode(lines).alias("line")).filter(F.col("half").isNotNull() & F.col("p")[params["name_prop"]].isNotNull())
     outline = F.pandas_udf(lambda line, half: pd.Series([shapes.road(x, h) for x, h in zip(line, half, strict=True)]), f"array<{sp.RING}>")
     shell = rows.select(*_keep(s), "p", F.explode(outline("line", "half")).alias("shell"))
     geo = F.struct(F.col("shell"), F.array().cast(f"array<{sp.RING}>").alias("holes")).alias(GEO)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -52,11 +53,20 @@ def rounded(df: DataFrame, digits: int) -> DataFrame:
     return df.select(*own)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A folder of its own where tables are shared; it goes with the driver."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/plan-{uuid.uuid4().hex}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return path.toString()
+
+
 def run(name: str) -> Callable[[SparkSession, str], DataFrame]:
     p = PLANS[name]
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        engine = Engine(spark).execute(p.script.replace("{d}", sf_dir))
+        script = p.script.replace("{d}", sf_dir)
+        engine = Engine(spark).execute(script.replace("{t}", scratch(spark)) if "{t}" in script else script)
         return rounded(engine.frame(p.out, p.key).drop(GEO), p.digits)
 
     return query
@@ -68,7 +78,7 @@ plan("filter_between_in", "lineitem", "SELECT l_orderkey, l_linenumber, l_quanti
 plan("filter_like", "part", "SELECT p_partkey, p_name FROM part INTO o WHERE p_type LIKE '.*[AEIOU]L.*' OR p_brand MATCH '/brand#1[0-9]/i';", "o", "SELECT p_partkey, p_name FROM part WHERE regexp_full_match(p_type, '.*[AEIOU]L.*') OR regexp_full_match(p_brand, '(?i)brand#1[0-9]')")
 plan("filter_unknown", "orders", "SELECT * FROM orders INTO o WHERE unknown IS NOT NULL;", "o", "SELECT * FROM orders WHERE 1 = 0")
 plan("select_star", "region", "SELECT * FROM region INTO o;", "o", "SELECT * FROM region")
-plan("select_literals", "nation", "SELECT n_name, 'immediate' AS a, -24.02 AS b, 100500 AS c, NULL AS d, TRUE AS e FROM nation INTO o;", "o", "SELECT n_name, 'immediate' AS a, -24.02::DOUBLE AS b, 100500::INTEGER AS c, NULL::VARCHAR AS d, TRUE AS e FROM nation")
+plan("select_literals", "nation", "SELECT n_name, 'at once' AS a, -17.25 AS b, 40960 AS c, NULL AS d, FALSE AS e FROM nation INTO o;", "o", "SELECT n_name, 'at once' AS a, -17.25::DOUBLE AS b, 40960::INTEGER AS c, NULL::VARCHAR AS d, FALSE AS e FROM nation")
 plan("ternary_default", "events", "SELECT event_id, value > 50 ? 'high' : 'low' AS band, (user_id = 3 ? event_type) : 'none' AS t FROM events INTO o;", "o", "SELECT event_id, CASE WHEN value > 50 THEN 'high' ELSE 'low' END AS band, CASE WHEN user_id = 3 THEN event_type ELSE 'none' END AS t FROM events")
 plan("null_logic", "events", "SELECT event_id, event_type, (event_type = 'click' ? value) AS v FROM events INTO a; SELECT event_id, v > 10 AND event_id > 5 AS a, v > 10 OR event_id > 5 AS b, v > 10 XOR event_id > 5 AS c, NOT v > 10 AS d, v = 3 AS e, v != 3 AS f, v == 3 AS g, v <> 3 AS h FROM a INTO o;", "o",
      "WITH a AS (SELECT event_id, CASE WHEN event_type = 'click' THEN value END AS v FROM events) SELECT event_id, CASE WHEN v IS NULL THEN NULL ELSE v > 10 AND event_id > 5 END AS a, coalesce(v > 10, FALSE) OR event_id > 5 AS b, coalesce(v > 10, FALSE) <> (event_id > 5) AS c, NOT v > 10 AS d, coalesce(v = 3, FALSE) AS e, coalesce(v <> 3, FALSE) AS f, v = 3 AS g, v <> 3 AS h FROM a")
@@ -110,7 +120,7 @@ plan("union_wildcard", "orders", "LOOP $s IN ['F','O','P'] BEGIN SELECT o_orderk
 # -- operations
 plan("count_by_key", "lineitem", "ALTER lineitem KEY l_suppkey; CALL countByKey() INPUT lineitem OUTPUT o;", "o", "SELECT l_suppkey AS k, count(*) AS _count FROM lineitem GROUP BY 1", True)
 _MATH = {
-    "sum": ("SUM", "-15.", "-15 + sum(x)"), "subtract": ("SUBTRACT", "7", "7 - sum(x)"), "average": ("AVERAGE", "3", "(3 + sum(x)) / count(x)"), "powermean": ("POWERMEAN", "3", "pow(sum(pow(x, 3)) / count(x), 1 / 3.0)"), "rms": ("RMS", None, "sqrt(sum(x * x) / count(x))"), "min": ("MIN", "3", "greatest(min(x), 3)"), "max": ("MAX", "40", "least(max(x), 40)"),
+    "sum": ("SUM", "-4.5", "-4.5 + sum(x)"), "subtract": ("SUBTRACT", "7", "7 - sum(x)"), "average": ("AVERAGE", "3", "(3 + sum(x)) / count(x)"), "powermean": ("POWERMEAN", "3", "pow(sum(pow(x, 3)) / count(x), 1 / 3.0)"), "rms": ("RMS", None, "sqrt(sum(x * x) / count(x))"), "min": ("MIN", "3", "greatest(min(x), 3)"), "max": ("MAX", "40", "least(max(x), 40)"),
     "equality": ("EQUALITY", None, "CASE WHEN min(x) = max(x) THEN 1.0::DOUBLE ELSE 0.0 END"), "median": ("MEDIAN", None, "quantile_cont(x, 0.5)"), "quantile": ("QUANTILE", "0.25", "CASE WHEN count(x) % 2 = 0 THEN (list_sort(list(x))[floor(count(x) * 0.25)::INT + 1] + list_sort(list(x))[greatest(floor(count(x) * 0.25)::INT, 1)]) / 2 ELSE list_sort(list(x))[floor(count(x) * 0.25)::INT + 1] END"),
 }
 for _name, (_f, _c, _sql) in _MATH.items():
@@ -145,16 +155,64 @@ plan("functions_record", "nation", "ALTER nation KEY n_nationkey; SELECT REC_KEY
 plan("hashcodes", "nation", "SELECT n_name, HASHCODE n_name AS a, HASHCODE n_nationkey AS b FROM nation INTO o;", "o", "SELECT n_name, ((list_reduce(list_prepend(0::BIGINT, list_transform(string_split(n_name, ''), lambda c: ord(c)::BIGINT)), lambda h, c: (h * 31 + c) % 4294967296) + 2147483648) % 4294967296 - 2147483648)::INTEGER AS a, n_nationkey AS b FROM nation")
 
 # -- transforms
-plan("json_paths", "events", "SELECT STRING event_id || '' AS id, props FROM events INTO a; ALTER a KEY id; ALTER a columnarToStructured(@template='\\{\"id\": \"$id$\", \"p\": $props$\\}') VALUE (id, props); ALTER a structuredToColumnar(@column_id='id', @column_p='p') VALUE (id); SELECT id FROM a INTO o;", "o", "SELECT event_id::VARCHAR AS id FROM events")
+plan("json_paths", "events", "SELECT STRING event_id || '' AS id, props FROM events INTO a; ALTER a KEY id; ALTER a columnarToStructured(@template='\\{\"id\": \"$id$\", \"p\": $props$\\}') VALUE (id, props); ALTER a structuredToColumnar(@column_id='id', @column_p='p') VALUE (id, p); SELECT id, p FROM a INTO n; ALTER a columnarToStructured(@template='\\{\"deep\": [0, \\{\"k\": $p$\\}], \"id\": \"$id$\"\\}'); SELECT id, \"deep[1].k.k\" AS k FROM a INTO o;", "o", "SELECT event_id::VARCHAR AS id, (props::JSON ->> '$.k') AS k FROM events")
 plan("text_columnar_round", "nation", "ALTER nation columnarToText(@delimiter=',') VALUE (n_nationkey, n_name); ALTER nation textToColumnar(@delimiter=',') VALUE (id, name); SELECT id, name FROM nation INTO o;", "o", "SELECT n_nationkey::VARCHAR AS id, n_name AS name FROM nation")
 plan("structured_select", "nation", "ALTER nation columnarToStructured(@template='\\{\"a\": \\{\"b\": [\"$n_name$\", $n_regionkey$]\\}\\}'); SELECT \"a.b[0]\" AS name, \"a.b[1]\" AS region FROM nation INTO o WHERE \"a.b[1]\" > 1;", "o", "SELECT n_name AS name, n_regionkey::VARCHAR AS region FROM nation WHERE n_regionkey > 1")
 plan("structured_json", "nation", "ALTER nation columnarToStructured(@template='\\{\"n\":\"$n_name$\"\\}'); ALTER nation structuredToJson; SELECT value FROM nation INTO o;", "o", "SELECT '{\"n\":\"' || n_name || '\"}' AS value FROM nation")
 plan("points", "customer", "SELECT c_custkey, c_custkey % 90 AS lat, c_custkey % 180 AS lon FROM customer INTO a; ALTER a columnarToPoint(@lat_column=lat, @lon_column=lon, @radius_default=300) POINT (c_custkey); ALTER a pointToColumnar; SELECT c_custkey, _center_lat, _center_lon, _radius FROM a INTO o;", "o", "SELECT c_custkey, (c_custkey % 90)::DOUBLE AS _center_lat, (c_custkey % 180)::DOUBLE AS _center_lon, 300.0::DOUBLE AS _radius FROM customer")
-plan("tracks", "events", "SELECT event_id, user_id, DT_EPOCH(ts) AS t, event_type, user_id % 60 AS lat, value % 100 AS lon FROM events INTO a; ALTER a columnarToTrack(@lat_column=lat, @lon_column=lon, @ts_column=t, @userid_column=user_id) POINT (event_id); ALTER a trackToPoint POINT (event_id); SELECT event_id FROM a INTO o;", "o", "SELECT event_id::VARCHAR AS event_id FROM events")
+plan("tracks", "events", "SELECT event_id, user_id, DT_EPOCH(ts) AS t, event_type, user_id % 60 AS lat, value % 100 AS lon FROM events INTO a; ALTER a columnarToTrack(@lat_column=lat, @lon_column=lon, @ts_column=t, @userid_column=user_id) POINT (event_id); SELECT TRK_POINTS(REC_OBJECT()) AS n, TRK_SEGMENTS(REC_OBJECT()) AS segments, _userid FROM a INTO o;", "o", "SELECT count(*)::INTEGER AS n, 1 AS segments, user_id::VARCHAR AS _userid FROM events GROUP BY user_id")
+_TRACKS = "SELECT event_id, user_id, LONG DT_EPOCH(ts) AS t, event_type, user_id % 60 AS lat, event_id % 50 AS lon FROM events INTO a; ALTER a columnarToTrack(@lat_column=lat, @lon_column=lon, @ts_column=t, @userid_column=user_id, @trackid_column=event_type) POINT (event_id, event_type);"
+_RUNS = "WITH e AS (SELECT *, epoch(date_trunc('second', ts))::BIGINT AS t, user_id % 60 AS lat, event_id % 50 AS lon FROM events), n AS (SELECT *, CASE WHEN event_type = lag(event_type) OVER (PARTITION BY user_id ORDER BY t) THEN 0 ELSE 1 END AS new FROM e) "
+plan("track_points", "events", _TRACKS + "ALTER a trackToPoint POINT (_userid, _trackid, event_id, _ts); SELECT _userid, _trackid, event_id, _ts, POINT_LAT(REC_OBJECT()) AS lat, POINT_LON(REC_OBJECT()) AS lon FROM a INTO o;", "o", _RUNS + "SELECT user_id::VARCHAR AS _userid, event_type AS _trackid, event_id::VARCHAR AS event_id, t::VARCHAR AS _ts, lat::DOUBLE AS lat, lon::DOUBLE AS lon FROM e")
+plan("track_segments", "events", _TRACKS + "SELECT _userid, TRK_SEGMENTS(REC_OBJECT()) AS segments, TRK_POINTS(REC_OBJECT()) AS points FROM a INTO o;", "o", _RUNS + "SELECT user_id::VARCHAR AS _userid, sum(new)::INTEGER AS segments, count(*)::INTEGER AS points FROM n GROUP BY 1")
+plan("track_filters", "events", _TRACKS + "SELECT * FROM a INTO b WHERE POINT event_type = 'click'; SELECT * FROM b INTO c WHERE SEGMENT _trackid = 'click'; SELECT * FROM c INTO d WHERE TRACK _userid != '3'; SELECT _userid, TRK_SEGMENTS(REC_OBJECT()) AS segments, TRK_POINTS(REC_OBJECT()) AS points FROM d INTO o;", "o", _RUNS + "SELECT user_id::VARCHAR AS _userid, sum(new)::INTEGER AS segments, count(*)::INTEGER AS points FROM n WHERE event_type = 'click' AND user_id <> 3 GROUP BY 1")
+plan("track_stats", "events", _TRACKS + "CALL trackStats(@pinning_mode=TRACK_STARTS) INPUT tracks FROM a OUTPUT b; SELECT _userid, _points, _duration FROM b INTO o;", "o", _RUNS + ", d AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t) AS part FROM n), g AS (SELECT user_id, part, count(*) AS c, max(t) - min(t) AS w FROM d GROUP BY ALL) SELECT user_id::VARCHAR AS _userid, sum(c)::DOUBLE AS _points, sum(w)::DOUBLE AS _duration FROM g GROUP BY 1")
+plan("track_centroids", "events", _TRACKS + "CALL spatialCentroid(@tracks_mode=TRACKS) INPUT a OUTPUT b; SELECT _userid, POINT_LAT(REC_OBJECT()) AS lat, POINT_LON(REC_OBJECT()) AS lon FROM b INTO o;", "o", _RUNS + "SELECT user_id::VARCHAR AS _userid, avg(lat)::DOUBLE AS lat, round(avg(lon), 6) + 0.0 AS lon FROM e GROUP BY 1")
+plan("track_gpx", "events", _TRACKS + "ALTER a trackToGpx(@ts_attr='_ts'); ALTER a gpxToTrack; ALTER a trackToPoint POINT (_userid, _ts); SELECT _userid, _ts, POINT_LAT(REC_OBJECT()) AS lat, POINT_LON(REC_OBJECT()) AS lon FROM a INTO o;", "o", _RUNS + "SELECT user_id::VARCHAR AS _userid, t::VARCHAR AS _ts, lat::DOUBLE AS lat, lon::DOUBLE AS lon FROM e")
 _GRID = "SELECT c_custkey, c_custkey % 80 AS lat, (c_custkey * 7) % 170 AS lon FROM customer INTO a; ALTER a columnarToPoint(@lat_column=lat, @lon_column=lon) POINT (c_custkey);"
 plan("area_covers", "customer supplier", _GRID + "SELECT STR_FORMAT('\\{\"type\":\"Feature\",\"properties\":\\{\"id\":\"%s\"\\},\"geometry\":\\{\"type\":\"Polygon\",\"coordinates\":[[[%s,%s],[%s,%s],[%s,%s],[%s,%s],[%s,%s]]]\\}\\}', s_suppkey, s_suppkey % 9 * 15 + 0.5, s_suppkey % 7 * 10 + 0.5, s_suppkey % 9 * 15 + 12.5, s_suppkey % 7 * 10 + 0.5, s_suppkey % 9 * 15 + 12.5, s_suppkey % 7 * 10 + 9.5, s_suppkey % 9 * 15 + 0.5, s_suppkey % 7 * 10 + 9.5, s_suppkey % 9 * 15 + 0.5, s_suppkey % 7 * 10 + 0.5) AS j FROM supplier INTO b; ALTER b columnarToStructured(@template='$j$'); ALTER b structuredToJson; ALTER b geoJsonToPolygon POLYGON (id); CALL areaCovers() INPUT points FROM a, polygons FROM b OUTPUT target INTO hit; ALTER hit pointToColumnar VALUE (c_custkey, id); SELECT c_custkey, id FROM hit INTO o;", "o",
      "SELECT c_custkey, s_suppkey::VARCHAR AS id FROM customer, supplier WHERE (c_custkey * 7) % 170 BETWEEN s_suppkey % 9 * 15 + 0.5 AND s_suppkey % 9 * 15 + 12.5 AND c_custkey % 80 BETWEEN s_suppkey % 7 * 10 + 0.5 AND s_suppkey % 7 * 10 + 9.5")
-plan("proximity", "customer supplier", _GRID + "SELECT s_suppkey, s_suppkey % 80 AS lat, (s_suppkey * 13) % 170 AS lon FROM supplier INTO b; ALTER b columnarToPoint(@lat_column=lat, @lon_column=lon, @radius_default=400000) POINT (s_suppkey); CALL proximity() INPUT points FROM a, pois FROM b OUTPUT target INTO hit, evicted INTO miss; ALTER hit pointToColumnar VALUE (c_custkey, s_suppkey, _distance); SELECT c_custkey, s_suppkey, _distance FROM hit INTO o;", "o", None, digits=3)
+_BOXES = "SELECT STR_FORMAT('\\{\"type\":\"Feature\",\"properties\":\\{\"id\":\"%s\"\\},\"geometry\":\\{\"type\":\"Polygon\",\"coordinates\":[[[%s,%s],[%s,%s],[%s,%s],[%s,%s],[%s,%s]]]\\}\\}', s_suppkey, s_suppkey % 9 * 15 + 0.5, s_suppkey % 7 * 10 + 0.5, s_suppkey % 9 * 15 + 12.5, s_suppkey % 7 * 10 + 0.5, s_suppkey % 9 * 15 + 12.5, s_suppkey % 7 * 10 + 9.5, s_suppkey % 9 * 15 + 0.5, s_suppkey % 7 * 10 + 9.5, s_suppkey % 9 * 15 + 0.5, s_suppkey % 7 * 10 + 0.5) AS j FROM supplier INTO b; ALTER b columnarToStructured(@template='$j$'); ALTER b structuredToJson; ALTER b geoJsonToPolygon POLYGON (id);"
+_REPEATED = "SELECT c_custkey % 8 * 10 AS lat, c_custkey % 17 * 10 AS lon FROM customer INTO a; ALTER a columnarToPoint(@lat_column=lat, @lon_column=lon) POINT (lat, lon);"
+_IN_BOX = "lon BETWEEN s_suppkey % 9 * 15 + 0.5 AND s_suppkey % 9 * 15 + 12.5 AND lat BETWEEN s_suppkey % 7 * 10 + 0.5 AND s_suppkey % 7 * 10 + 9.5"
+plan("area_covers_once", "customer supplier", _REPEATED.replace("* 10 AS lat", "* 10 + 5 AS lat") + _BOXES + "CALL areaCovers(@encounter_mode=ONCE) INPUT points FROM a, polygons FROM b OUTPUT target INTO hit, evicted INTO miss; SELECT lat, lon, 'in' AS side FROM hit INTO h; SELECT lat, lon, 'out' AS side FROM miss INTO m; ALTER h pointToColumnar VALUE (lat, lon, side); ALTER m pointToColumnar VALUE (lat, lon, side); SELECT lat, lon, side FROM UNION h, m INTO o;", "o",
+     f"SELECT lat, lon, CASE WHEN EXISTS (SELECT 1 FROM supplier WHERE {_IN_BOX}) THEN 'in' ELSE 'out' END AS side FROM (SELECT (c_custkey % 8 * 10 + 5)::DOUBLE AS lat, (c_custkey % 17 * 10)::DOUBLE AS lon FROM customer)")
+
+
+def geodesic_sql(lat1: str, lon1: str, lat2: str, lon2: str, source: str, keep: str, rounds: int = 8) -> str:
+    """Rows of `source` with the length d of the geodesic between two points of WGS 84, by Vincenty's inverse formula."""
+    f, b = "(1 / 298.257223563)", "(6378137.0 * (1 - 1 / 298.257223563))"
+    q = f"SELECT {keep}, atan((1 - {f}) * tan(radians({lat1}))) AS u1, atan((1 - {f}) * tan(radians({lat2}))) AS u2, radians({lon2} - {lon1}) AS l, radians({lon2} - {lon1}) AS x FROM {source}"
+    for last in [False] * rounds + [True]:
+        q = f"SELECT {keep}, u1, u2, l, x, sin(u1) * sin(u2) + cos(u1) * cos(u2) * cos(x) AS cs, sqrt(pow(cos(u2) * sin(x), 2) + pow(cos(u1) * sin(u2) - sin(u1) * cos(u2) * cos(x), 2)) AS ss FROM ({q})"
+        q = f"SELECT *, atan2(ss, cs) AS s, CASE WHEN ss = 0 THEN 0 ELSE cos(u1) * cos(u2) * sin(x) / ss END AS sa FROM ({q})"
+        q = f"SELECT *, CASE WHEN abs(1 - sa * sa) < 1e-15 THEN 0 ELSE cs - 2 * sin(u1) * sin(u2) / (1 - sa * sa) END AS cm, {f} / 16 * (1 - sa * sa) * (4 + {f} * (4 - 3 * (1 - sa * sa))) AS c FROM ({q})"
+        if not last:
+            q = f"SELECT {keep}, u1, u2, l, l + (1 - c) * {f} * sa * (s + c * ss * (cm + c * cs * (2 * cm * cm - 1))) AS x FROM ({q})"
+    q = f"SELECT *, (1 - sa * sa) * (pow(6378137.0, 2) - pow({b}, 2)) / pow({b}, 2) AS w FROM ({q})"
+    q = f"SELECT *, 1 + w / 16384 * (4096 + w * (w * (320 - 175 * w) - 768)) AS ka, w / 1024 * (256 + w * (w * (74 - 47 * w) - 128)) AS kb FROM ({q})"
+    return f"SELECT {keep}, {b} * ka * (s - kb * ss * (cm + kb / 4 * (cs * (2 * cm * cm - 1) - kb / 6 * cm * (4 * ss * ss - 3) * (4 * cm * cm - 3)))) AS d FROM ({q})"
+
+
+_POIS = "SELECT s_suppkey, s_suppkey % 80 AS lat, (s_suppkey * 13) % 170 AS lon FROM supplier INTO b; ALTER b columnarToPoint(@lat_column=lat, @lon_column=lon, @radius_default=400000) POINT (s_suppkey);"
+_PAIRS = geodesic_sql("c_custkey % 80", "(c_custkey * 7) % 170", "s_suppkey % 80", "(s_suppkey * 13) % 170", "customer, supplier", "c_custkey, s_suppkey")
+plan("proximity", "customer supplier", _GRID + _POIS + "CALL proximity() INPUT points FROM a, pois FROM b OUTPUT target INTO hit, evicted INTO miss; ALTER hit pointToColumnar VALUE (c_custkey, s_suppkey, _distance); SELECT c_custkey, s_suppkey, _distance FROM hit INTO o;", "o", f"SELECT c_custkey, s_suppkey, round(d, 1) + 0.0 AS _distance FROM ({_PAIRS}) WHERE d <= 400000", digits=1)
+plan("proximity_evicted", "customer supplier", _GRID + _POIS + "CALL proximity(@encounter_mode=ONCE) INPUT points FROM a, pois FROM b OUTPUT target INTO hit, evicted INTO miss; ALTER miss pointToColumnar VALUE (c_custkey); SELECT c_custkey FROM miss INTO o;", "o", f"SELECT c_custkey FROM ({_PAIRS}) GROUP BY 1 HAVING min(d) > 400000")
+plan("proximity_all", "customer supplier", _REPEATED + "SELECT DISTINCT s_suppkey % 3 AS n, s_suppkey % 3 * 5 + 20 AS lat, s_suppkey % 2 * 30 + 40 AS lon FROM supplier INTO b; ALTER b columnarToPoint(@lat_column=lat, @lon_column=lon, @radius_default=4500000) POINT (n); CALL proximity(@encounter_mode=ALL) INPUT points FROM a, pois FROM b OUTPUT target INTO hit; ALTER hit pointToColumnar VALUE (lat, lon); SELECT lat, lon FROM hit INTO o;", "o",
+     "SELECT lat, lon FROM (" + geodesic_sql("lat", "lon", "slat", "slon", "(SELECT c_custkey, (c_custkey % 8 * 10)::DOUBLE AS lat, (c_custkey % 17 * 10)::DOUBLE AS lon FROM customer), (SELECT DISTINCT s_suppkey % 3 * 5 + 20 AS slat, s_suppkey % 2 * 30 + 40 AS slon FROM supplier)", "c_custkey, lat, lon") + ") GROUP BY c_custkey, lat, lon HAVING max(d) <= 4500000")
+plan("points_geojson", "customer", _GRID + "ALTER a pointToGeoJson POINT (c_custkey); ALTER a geoJsonToPoint POINT (c_custkey); SELECT c_custkey, POINT_LAT(REC_OBJECT()) AS lat, POINT_LON(REC_OBJECT()) AS lon FROM a INTO o;", "o", "SELECT c_custkey::VARCHAR AS c_custkey, (c_custkey % 80)::DOUBLE AS lat, ((c_custkey * 7) % 170)::DOUBLE AS lon FROM customer")
+plan("polygons_geojson", "supplier", _BOXES + "ALTER b polygonToGeoJson POLYGON (id); ALTER b geoJsonToPolygon POLYGON (id); SELECT id, POLY_VERTICES(REC_OBJECT()) AS v, POLY_HOLES(REC_OBJECT()) AS h FROM b INTO c; SELECT id, v, h FROM c INTO o;", "o", "SELECT s_suppkey::VARCHAR AS id, 4 AS v, 0 AS h FROM supplier")
+plan("point_functions", "customer", "SELECT c_custkey, POINT_LAT(POINT_MAKE(c_custkey % 80, 3)) AS a, POINT_LON(POI_MAKE(1, c_custkey % 170, 7)) AS b, POI_RADIUS(POI_MAKE(1, 2, c_custkey)) AS c, POINT_LON(POINT_FROM_JSON(STR_FORMAT('\\{\"type\":\"Point\",\"coordinates\":[%s,2]\\}', c_custkey % 90))) AS d, GEO_DISTANCE(POINT_MAKE(c_custkey % 80, 10), POINT_MAKE(20, c_custkey % 50)) AS e FROM customer INTO o;", "o",
+     "SELECT c_custkey, (c_custkey % 80)::DOUBLE AS a, (c_custkey % 170)::DOUBLE AS b, c_custkey::DOUBLE AS c, (c_custkey % 90)::DOUBLE AS d, round(d, 1) + 0.0 AS e FROM (" + geodesic_sql("c_custkey % 80", "10", "20", "c_custkey % 50", "customer", "c_custkey") + ")", digits=1)
+
+# -- sinks and sources
+plan("sink_text", "orders", "COPY orders hadoopText(@delimiter=';', @codec='GZ') VALUE (o_orderkey, o_orderpriority) INTO '{t}'; CREATE back textColumnar(@delimiter=';') VALUE (id, priority) FROM '{t}/orders'; SELECT id, priority FROM back INTO o;", "o", "SELECT o_orderkey::VARCHAR AS id, o_orderpriority AS priority FROM orders")
+plan("source_lines", "nation", "COPY nation hadoopText(@delimiter=',') VALUE (n_nationkey, n_name) INTO '{t}'; CREATE back hadoopText FROM '{t}/nation'; SELECT value FROM back INTO o;", "o", "SELECT n_nationkey || ',' || n_name AS value FROM nation")
+plan("sink_parquet", "orders", "COPY orders columnarParquet(@codec='SNAPPY') VALUE (o_orderkey, o_totalprice) INTO '{t}'; CREATE back parquetColumnar FROM '{t}/orders'; SELECT o_orderkey, o_totalprice FROM back INTO o WHERE o_totalprice > 1000;", "o", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 1000")
+plan("source_structured", "region", "CREATE deep parquetStructured FROM '{d}/orders.parquet'; SELECT o_orderkey, o_orderstatus FROM deep INTO o WHERE o_orderstatus = 'F' AND o_orderkey > 9;", "o", "SELECT o_orderkey::VARCHAR AS o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F' AND o_orderkey > 9")
+plan("s3_round", "nation", "COPY nation s3directText(@delimiter=',') VALUE (n_nationkey, n_name) INTO '{t}/a'; COPY nation s3directParquet VALUE (n_nationkey, n_name) INTO '{t}/b'; CREATE a s3directColumnar(@delimiter=',', @schema_from_file=FALSE) VALUE (id, name) FROM '{t}/a/nation'; CREATE b s3directText FROM '{t}/a/nation'; CREATE c parquetColumnar FROM '{t}/b/nation'; SELECT id || name AS v FROM a INTO x; SELECT STR_REPLACE(value, ',', '') AS v FROM b INTO y; SELECT n_nationkey || n_name AS v FROM c INTO z; SELECT v FROM UNION x, y, z INTO o;", "o", "SELECT n_nationkey || n_name AS v FROM nation, range(3)")
+plan("options_drop_raise", "orders", "OPTIONS @exact_limit=TRUE, @loop_iteration_limit=100; CREATE FUNCTION f(@x) AS $x; DROP FUNCTION f; CREATE FUNCTION f(@x) AS $x + 1; RAISE INFO 'on'; SELECT o_orderkey FROM orders INTO a LIMIT 9; ANALYZE a; SELECT f(_total) AS n FROM _metrics INTO o;", "o", "SELECT 10::BIGINT AS n")
+plan("structs", "nation", "SELECT n_name, ARR_JOIN(STRUCT_ATTRS(STRUCT_FROM_ARRAY(ARR_MAKE(n_name, 'b'), FALSE)), ',') AS a, ARR_JOIN(STRUCT_PIVOT(STRUCT_FROM_ARRAY(ARR_MAKE(n_name, 'b'), FALSE)), ',') AS b, ARR_PUT(ARR_MAKE('x', n_name), 1, 'y') AS c, PLAINTEXT n_regionkey AS d, STRUCT_ATTR(STRUCT STR_FORMAT('\\{\"k\":\"%s\"\\}', n_name), 'k') AS e, RANDOM n_nationkey < n_nationkey + 1 AS f FROM nation INTO o;", "o", "SELECT n_name, '0,1' AS a, n_name || ',b' AS b, n_name AS c, n_regionkey::VARCHAR AS d, n_name AS e, TRUE AS f FROM nation")
 
 # -- scripting
 plan("user_functions", "orders", "CREATE FUNCTION net(@x, @rate = 0.2) AS RETURN $x * (1 - $rate); CREATE FUNCTION size(@x) AS BEGIN IF $x > 200000 THEN RETURN 'large'; ELSE IF $x > 100000 THEN RETURN 'medium'; END; END; RETURN 'small'; END; SELECT o_orderkey, net(o_totalprice, 0.1) AS n, size(o_totalprice) AS s FROM orders INTO o;", "o", "SELECT o_orderkey, round(o_totalprice * (1 - 0.1), 6) AS n, CASE WHEN o_totalprice > 200000 THEN 'large' WHEN o_totalprice > 100000 THEN 'medium' ELSE 'small' END AS s FROM orders")
