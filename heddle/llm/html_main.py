@@ -4,12 +4,12 @@ Pages of a host share a template. Each page is parsed to a tree whose like sibli
 Trees of a host are aligned one after the other by simple tree matching (the alignment of ordered children that matches
 most nodes), which gives a tree of all nodes of the host with the number of pages that have each: nodes of most
 pages are the template's slots. Texts of slots are counted exactly, over all pages: those of most pages are template;
-what varies is content. Alignment is done for each partition's pages, and the partial trees of a host, a few for each
+what varies is content, and lies in the region of the tree below which most of the different texts stand. Alignment is done for each partition's pages, and the partial trees of a host, a few for each
 partition, are aligned again; texts are counted by hash, partially before they are shuffled; so no host's pages are
 gathered, and one may hold any share of the pages.
 
 Slots that stand for something else vary, too (menus, adverts, comments), so what lies in elements of NOT_CONTENT, or in
-elements whose role, id or a whole token of whose class says so, never counts as content. Class and id say nothing of
+elements whose role, id or a whole token of whose class says so, never counts as content, within the region or without one. Class and id say nothing of
 elements of WHOLE, of headers in an article or main element, and of an element that holds most of the page's text. Where a page has an article or main element only
 what lies in one counts.
 
@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mapped, sized, slices, written
+from .common import mapped, slices, written
 
 DEPTH = 64
 WHOLE_SLOT = -1
@@ -59,6 +59,7 @@ _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _SPACE = re.compile(r"\s+")
 HEADS = frozenset("header masthead".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 
 
 def _marked(attrs: str) -> tuple[str, bool, set[str]]:
@@ -158,7 +159,7 @@ def blocks(page: str) -> list[Block]:
         inline = tag in INLINE
         if tag == "br":
             run.append(" ")
-        if tag in VOID or m[3].endswith("/"):
+        if tag in VOID:
             if not inline:
                 flush()
             continue
@@ -251,7 +252,8 @@ def align(left: list[Node], right: list[Node]) -> list[tuple[int | None, int | N
 
 
 def text_hash(text: str) -> int:
-    return zlib.crc32(text.encode("utf-8", "surrogatepass")) << 16 | len(text) & 0xFFFF
+    """A hash whose lowest 16 bits are the text's length, as far as they go."""
+    return zlib.crc32(text.encode("utf-8", "surrogatepass")) << 16 | min(len(text), 0xFFFF)
 
 
 def tree(found: list[Block]) -> Node:
@@ -272,7 +274,15 @@ def slot_hash(path: tuple[str, ...]) -> int:
     return text_hash("/".join(path))
 
 
-def content(found: list[Block]) -> list[Block]:
+@lru_cache(10_000)
+def slots_above(path: tuple[str, ...]) -> frozenset[int]:
+    return frozenset(slot_hash(path[:i]) for i in range(len(path) + 1))
+
+
+def content(found: list[Block], region: int | None = None) -> list[Block]:
+    """The blocks in the host's content region, if the page has any; of these or else all, those in an article or main element, if there are any."""
+    inside = [b for b in found if region in slots_above(b.path)] if region is not None else []
+    found = inside or found
     return [b for b in found if b.root] if any(b.root for b in found) else found
 
 
@@ -285,6 +295,41 @@ def keys(found: list[Block]) -> set[tuple[int, int]]:
     return {(slot_hash(b.path), text_hash(b.text)) for b in found} | {(WHOLE_SLOT, whole_hash(content(found)))}
 
 
+def region_of(root: Node, mass: dict[int, int], most: float = 0.6) -> int:
+    """The slot below which the host's pages differ: from the root on, the child that holds most of the different texts, as long as it is no mere text.
+
+    mass: characters of the different texts of each slot, but for the template's. Headings beside the slot so found belong to it, and so does the
+    rest of the article or main element around it.
+    """
+    below: dict[tuple[str, ...], set[str]] = {}
+
+    def walk(node: Node, path: tuple[str, ...]) -> None:
+        for c in node.children:
+            below.setdefault(path, set()).add(c.label)
+            walk(c, (*path, c.label))
+
+    walk(root, ())
+    totals: dict[tuple[str, ...], int] = {}
+
+    def total(path: tuple[str, ...]) -> int:
+        totals[path] = mass.get(slot_hash(path), 0) + sum(total((*path, x)) for x in below.get(path, ()))
+        return totals[path]
+
+    total(())
+    path: tuple[str, ...] = ()
+    while below.get(path):
+        best = max(sorted(below[path]), key=lambda x: totals[(*path, x)])
+        own = (*path, best)
+        if own not in below or not totals[own] or totals[own] < most * totals[path]:
+            break
+        path = own
+    kind = lambda x: x.split(" ")[0]
+    while path and any(kind(x) in HEADINGS for x in below[path[:-1]]):
+        path = path[:-1]
+    around = [i for i, x in enumerate(path) if kind(x) in ROOTS]
+    return slot_hash(path[: around[0] + 1] if around else path)
+
+
 def slots(root: Node, share: float) -> list[int]:
     """The slots that at least that share of the host's pages have; nodes of one path count together."""
     counts: dict[tuple[str, ...], int] = {}
@@ -300,15 +345,18 @@ def slots(root: Node, share: float) -> list[int]:
     return sorted({WHOLE_SLOT} | {slot_hash(p) for p, n in counts.items() if n >= share * root.count})
 
 
-def main_text(page: str | None, constant: frozenset[str] | set[str] = frozenset()) -> str:
-    found = content(blocks(page)) if page else []
-    if constant and f"{WHOLE_SLOT}|{whole_hash(found)}" not in constant:
+def main_text(page: str | None, constant: frozenset[str] | set[str] = frozenset(), region: int | None = None) -> tuple[str, str]:
+    """The text, and what told content from the rest: the host's `wrapper`, or only `elements`."""
+    every = blocks(page) if page else []
+    found = content(every, region)
+    rule = "wrapper" if region is not None and any(region in slots_above(b.path) for b in every) else "elements"
+    if constant and f"{WHOLE_SLOT}|{whole_hash(content(every))}" not in constant:
         found = [b for b in found if f"{slot_hash(b.path)}|{text_hash(b.text)}" not in constant]
-    return "\n".join(b.text for b in found)
+    return "\n".join(b.text for b in found), rule
 
 
 def templates(pages: DataFrame, least_pages: int = 3, share: float = 0.6, url: str = "url", html: str = "html") -> DataFrame:
-    """host and its constant texts, a row for each host that has any."""
+    """host, its content region and its constant texts, a row for each host with enough pages."""
     named = pages.select(host_of(url).alias("host"), F.col(html).alias("html"))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,7 +389,7 @@ def templates(pages: DataFrame, least_pages: int = 3, share: float = 0.6, url: s
         if trees:
             yield send()
 
-    def merge(frame: pd.DataFrame) -> pd.DataFrame:
+    def merge(frame: pd.DataFrame, masses: pd.DataFrame) -> pd.DataFrame:
         whole = None
         for x in frame["tree"].sort_values():
             own = Node.load(json.loads(x))
@@ -349,38 +397,51 @@ def templates(pages: DataFrame, least_pages: int = 3, share: float = 0.6, url: s
                 whole = own
             else:
                 whole.add(own)
-        return pd.DataFrame({"host": [frame["host"].iloc[0]], "pages": [whole.count], "slot": [slots(whole, share)]})
+        if whole is None or whole.count < least_pages:
+            return pd.DataFrame({"host": [], "pages": [], "slot": [], "region": []}, dtype=object)
+        region = region_of(whole, dict(zip(masses["slot"], masses["mass"], strict=True)))
+        return pd.DataFrame({"host": [frame["host"].iloc[0]], "pages": [whole.count], "slot": [slots(whole, share)], "region": [region]})
 
     partial = written(mapped(named, learn, "host string, tree string, slot long, text long, n long"))
-    hosts = written(partial.filter("tree is not null").select("host", "tree").groupBy("host").applyInPandas(merge, "host string, pages long, slot array<long>").filter(F.col("pages") >= least_pages))
+    texts = partial.filter("tree is null").groupBy("host", "slot", "text").agg(F.sum("n").alias("n"))
+    # each page has one text at WHOLE_SLOT
+    sizes = texts.filter(F.col("slot") == WHOLE_SLOT).groupBy("host").agg(F.sum("n").alias("pages"))
+    constant = (F.col("n") >= least_pages) & (F.col("n") >= share * F.col("pages"))
+    masses = texts.filter(F.col("slot") != WHOLE_SLOT).join(sizes, "host").filter(~constant).groupBy("host", "slot").agg(F.sum(F.col("text").bitwiseAND(0xFFFF)).alias("mass"))
+    trees = partial.filter("tree is not null").select("host", "tree").groupBy("host")
+    hosts = written(trees.cogroup(masses.groupBy("host")).applyInPandas(merge, "host string, pages long, slot array<long>, region long"))
     # most texts stand on one page, so few are left before the joins
-    counts = partial.filter("tree is null").groupBy("host", "slot", "text").agg(F.sum("n").alias("n")).filter(F.col("n") >= least_pages)
+    counts = texts.filter(F.col("n") >= least_pages)
     found = counts.join(hosts.select("host", F.explode("slot").alias("slot"), "pages"), ["host", "slot"]).filter(F.col("n") >= share * F.col("pages"))
-    return found.groupBy("host").agg(F.sort_array(F.collect_list(F.concat_ws("|", "slot", "text"))).alias("constant"))
+    constant = found.groupBy("host").agg(F.sort_array(F.collect_list(F.concat_ws("|", "slot", "text"))).alias("constant"))
+    return hosts.select("host", "region").join(constant, "host", "left")
 
 
 def host_of(url: str) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1)), F.lit(""))
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html", least_pages: int = 3, share: float = 0.6) -> DataFrame:
-    """page_id, url, text, n_chars of each page."""
+def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html", least_pages: int = 3, share: float = 0.6, broadcast_bytes: int = 8 << 20) -> DataFrame:
+    """page_id, url, text, n_chars of each page, and `rule`: what told content from the rest, the host's `wrapper` or, on hosts with few pages, `elements`."""
     learned = written(templates(pages, least_pages, share, url, html))
+    width = learned.agg(F.sum(F.octet_length("host") + 64 + F.coalesce(F.octet_length(F.concat_ws("", "constant")), F.lit(0)))).first()[0]
     named = pages.select(F.col(id_col).alias("page_id"), F.col(url).alias("url"), host_of(url).alias("host"), F.col(html).alias("html"))
-    joined = named.join(sized(learned, learned.count(), 20_000), "host", "left").select("page_id", "url", "html", "constant")
-    schema = T.StructType([joined.schema["page_id"], joined.schema["url"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
+    joined = named.join(F.broadcast(learned) if (width or 0) <= broadcast_bytes else learned, "host", "left").select("page_id", "url", "html", "constant", "region")
+    schema = T.StructType([joined.schema["page_id"], joined.schema["url"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("rule", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[str, ...], frozenset[str]] = {}
         for batch in slices(batches, "html"):
-            texts = []
-            for page, own in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            texts, rules = [], []
+            for page, own, region in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
                 key = tuple(own or ())
                 if key not in seen:
                     if len(seen) > 1000:
                         seen.clear()
                     seen[key] = frozenset(key)
-                texts.append(main_text(page, seen[key]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=schema.names)
+                text, rule = main_text(page, seen[key], region)
+                texts.append(text)
+                rules.append(rule)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(rules, pa.string())], names=schema.names)
 
     return mapped(joined, run, schema)
