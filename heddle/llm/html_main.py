@@ -403,11 +403,11 @@ def templates(pages: DataFrame, least_pages: int = 3, share: float = 0.6, url: s
         return pd.DataFrame({"host": [frame["host"].iloc[0]], "pages": [whole.count], "slot": [slots(whole, share)], "region": [region]})
 
     partial = written(mapped(named, learn, "host string, tree string, slot long, text long, n long"))
-    texts = partial.filter("tree is null").groupBy("host", "slot", "text").agg(F.sum("n").alias("n"))
+    texts = written(partial.filter("tree is null").groupBy("host", "slot", "text").agg(F.sum("n").alias("n")))
     # each page has one text at WHOLE_SLOT
     sizes = texts.filter(F.col("slot") == WHOLE_SLOT).groupBy("host").agg(F.sum("n").alias("pages"))
     constant = (F.col("n") >= least_pages) & (F.col("n") >= share * F.col("pages"))
-    masses = texts.filter(F.col("slot") != WHOLE_SLOT).join(sizes, "host").filter(~constant).groupBy("host", "slot").agg(F.sum(F.col("text").bitwiseAND(0xFFFF)).alias("mass"))
+    masses = written(texts.filter(F.col("slot") != WHOLE_SLOT).join(sizes, "host").filter(~constant).groupBy("host", "slot").agg(F.sum(F.col("text").bitwiseAND(0xFFFF)).alias("mass")))
     trees = partial.filter("tree is not null").select("host", "tree").groupBy("host")
     hosts = written(trees.cogroup(masses.groupBy("host")).applyInPandas(merge, "host string, pages long, slot array<long>, region long"))
     # most texts stand on one page, so few are left before the joins
