@@ -241,8 +241,66 @@ def test_op3_hot_group_spreads_and_little_moves(spark):
     assert sum(shards[12][i][0] != shards[13][i][0] for i in rest) < 0.5 * len(rest)
 
 
+def brute_shards(rows, shards, slack=0.001):
+    """The shard of each group (rows of one key), one group after the other; rows are (key, size)."""
+    points = sharding.ring(shards, 128)
+    order = [s for _, s in points]
+    total = sum(b for _, b in rows)
+    capacity = max(1, -(-int(total * (1 + slack)) // shards), -(-total // shards))
+    groups = defaultdict(lambda: [0, 0])
+    for k, b in rows:
+        groups[k][0] += b
+        groups[k][1] += 1
+    arc = {k: sharding.locate(k, points) for k in groups}
+    around = lambda i: list(dict.fromkeys(order[i:] + order[:i]))
+    given, out = [0] * shards, {}
+    for k in sorted((k for k in groups if groups[k][0] > int(capacity * slack)), key=lambda k: (-groups[k][0], arc[k], k)):
+        size, n = groups[k]
+        s = next((s for s in around(arc[k]) if given[s] + size <= capacity), None)
+        out[k] = s
+        if s is not None:
+            given[s] += size
+            continue
+        left = n
+        for s in around(arc[k]):
+            m = min(left, max(0, (capacity - given[s]) * n // size))
+            given[s] += m * size // n
+            left -= m
+        for _ in range(left):
+            given[given.index(min(given))] += size // n
+    small = [k for k in groups if k not in out]
+    while sum(max(0, capacity - g) for g in given) < sum(groups[k][0] for k in small):
+        capacity += 1
+    return out, given, capacity, small, arc
+
+
+@pytest.mark.parametrize("kind", ["odd", "docs", "many"])
+def test_op3_groups_stay_whole(spark, odd, docs, kind):
+    """Against a plain walk: large groups lie where it puts them, whole; small ones are whole, too, and none of it depends on the parts."""
+    rnd = random.Random(4)
+    many = [(i, f"t{rnd.randint(0, 3000)} " * rnd.randint(1, 9) if i > 900 else f"same {i % 3} " * 8) for i in range(9000)]
+    df = {"odd": odd, "docs": docs}.get(kind) or spark.createDataFrame(many, "doc_id long, text string")
+    n = 5 if kind == "many" else 24
+    rows = df.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("k"), (F.octet_length(F.coalesce("text", F.lit(""))) + 8).alias("b")).collect()
+    slack = 0.05 if kind == "many" else 0.001
+    out, given, capacity, small, _ = brute_shards([(r["k"], r["b"]) for r in rows], n, slack)
+    key = {(r["c"], r["b"]): r["k"] for r in df.select(F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("c"), (F.octet_length(F.coalesce("text", F.lit(""))) + 8).alias("b"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("k")).collect()}
+    got = sharding.shard(df, n, slack=slack).collect()
+    where, load = defaultdict(set), Counter()
+    for r in got:
+        where[key[r["text_crc32"], r["size"]]].add(r["shard"])
+        load[r["shard"]] += r["size"]
+    assert all(where[k] == {s} for k, s in out.items() if s is not None)
+    assert all(len(where[k]) == 1 for k in small)
+    biggest = max((r["b"] for r in rows), default=0)
+    assert max(load.values()) <= max([*given, capacity]) + max(biggest, int(capacity * slack))
+    assert kind != "many" or len(small) > 1000
+    again = sharding.shard(df.repartition(3), n, slack=slack, part_rows=40).collect()
+    assert Counter((r["doc_id"], r["text_crc32"], r["shard"]) for r in again if where[key[r["text_crc32"], r["size"]]] and len(where[key[r["text_crc32"], r["size"]]]) == 1) == Counter((r["doc_id"], r["text_crc32"], r["shard"]) for r in got if len(where[key[r["text_crc32"], r["size"]]]) == 1)
+
+
 def test_op3_walk_keeps_capacity():
-    ranges, given = sharding.walk([0, 1, 2, 0, 1, 2], [50, 0, 10, 30, 5, 5], 34, 3)
+    ranges, given = sharding.walk([0, 1, 2, 0, 1, 2], [50, 0, 10, 30, 5, 5], [34, 34, 34])
     assert given == [34, 34, 32] and sum(given) == 100
     assert [r[-1][1] if r else 0 for r in ranges] == [50, 0, 10, 30, 5, 5]
 
