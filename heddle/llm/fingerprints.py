@@ -8,7 +8,9 @@ equal samples estimates it. A sample is kept as 16 bits.
 
 A text without words, and a null one, has the fingerprint of zeros; it is like another such text (1) and unlike all
 others (0). Equal texts have equal fingerprints. The next document of `with_edits` is the next by ascending id, null ids
-first, rows with equal ids by their text; after the last comes the first. Extra columns are ignored.
+first, rows with equal ids by their text, so repeated rows follow each other; after the last comes the first. Ids are of
+any type with an order. An empty table gives no rows. Texts of any length are read whole. Extra columns are ignored.
+Samples are made of numbers of 16 bits, which tell terms apart well until a text has many times 65,536 different ones.
 """
 
 from __future__ import annotations
@@ -110,7 +112,11 @@ def with_next(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     spark = docs.sparkSession
     named = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = named.select(F.percentile_approx("id", [i / parts for i in range(1, parts)], 20 * parts)).first()[0] if parts > 1 else None
+    if isinstance(named.schema["id"].dataType, T.NumericType):
+        cuts = named.select(F.percentile_approx("id", [i / parts for i in range(1, parts)], 20 * parts)).first()[0] if parts > 1 else None
+    else:  # of other ids, a sample of about 100 for each bucket; it only makes buckets even
+        seen = sorted(r[0] for r in named.filter("id is not null").select("id").sample(min(1.0, 100 * parts / max(1, named.count())), 3).collect())
+        cuts = [seen[len(seen) * i // parts] for i in range(1, parts)] if seen else None
     cuts = sorted(set(cuts or []))
     bucket = search(cuts, F.col("id"))
     named = named.select(bucket.cast("int").alias("bucket"), F.lit(False).alias("tail"), "id", "text")

@@ -19,8 +19,11 @@ If both lie farther: by an inverted index of the rarest elements of the full set
 All this only yields candidates, confirmed on the full sets. Hence no link between texts that share a bucket is lost, and
 texts as alike as asked for share one but for a chance of about (1 - similarity ** rows) ** (bins / rows).
 
-Null and empty texts, and those without words, have empty sets and are linked with nothing. Rows with one id are one
-document. Rows with a null id aren't linked: their component is null and they are kept. Extra columns are ignored.
+Null and empty texts, and those without words, have empty sets and are linked with nothing. Ids are of any type with an
+order. Rows with one id and text are one document; rows with one id and other texts are documents of their own, and each
+has the least id of its component, so that several rows of an id may be kept. Rows with a null id aren't linked: their
+component is null and they are kept. An empty table gives no rows. Texts of any length are read whole. Extra columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -36,6 +39,8 @@ from pyspark.sql import types as T
 from .common import mapped, mix, sized, slices, utf8, written
 from .words import lowered, shingles
 
+NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+
 
 #: Jaccard distance up to which a member's set is compared with others' by way of its hub's.
 FAR = 0.4
@@ -243,6 +248,25 @@ def missed(hubs: DataFrame, labels: DataFrame, docs: DataFrame, width: int, perc
 
 def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, bins: int = 160, rows: int = 5, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept (the component's least id) for each row of docs."""
+    text_hash = F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(3), text).alias("b"))
+    named = docs.select(F.col(id_col).alias("doc_id"), text_hash.alias("of"), F.col(text).alias("text"))
+    several = named.filter("doc_id is not null").groupBy("doc_id").agg((F.min("of") != F.max("of")).alias("several")).filter("several")
+    if isinstance(docs.schema[id_col].dataType, NUMERIC) and several.isEmpty():
+        return by_numbers(docs, width, percent, bins, rows, id_col, text)
+    # texts are known by numbers, and components by the least id in them
+    number = F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())
+    texts = written(named.dropDuplicates(["doc_id", "of"]).withColumn("number", number))
+    found = by_numbers(texts, width, percent, bins, rows, "number", "text").withColumnsRenamed({"doc_id": "number", "component_id": "label"})
+    known = written(texts.filter("number is not null").select("doc_id", "of", "number").join(found.select("number", "n_shingles", "label"), "number"))
+    least = known.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    known = known.join(least, "label").select("doc_id", "of", "n_shingles", "component_id")
+    out = named.select("doc_id", "of").filter("doc_id is not null").join(known, ["doc_id", "of"]).select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    nameless = sketch(named.filter("doc_id is null"), width, bins, rows, "doc_id", "text")
+    return out.unionByName(nameless.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept")))
+
+
+def by_numbers(docs: DataFrame, width: int, percent: int, bins: int, rows: int, id_col: str, text: str) -> DataFrame:
+    """near_duplicates where ids are numbers and rows with one id have one text."""
     drawn = written(sketch(docs, width, bins, rows, id_col, text))
     sets = written(drawn.filter("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")))
     owners = drawn.join(sets.select("h1", "h2", F.col("rep").alias("doc_id")), ["h1", "h2", "doc_id"], "left_semi").select(F.col("doc_id").alias("rep"), "n_shingles", F.explode("keys").alias("key")).distinct()
