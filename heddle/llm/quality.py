@@ -7,19 +7,21 @@ For the others a vector of four transformed statistics is compared with those of
 regularised minimum-covariance-determinant estimate: from several starts (scales by median absolute deviation, and the
 same with correlations of signs) concentration steps move to the share `support` of the rows that lie nearest; the
 start whose determinant is least wins. The nearest rows have too small a covariance for all, so it is multiplied by the
-factor that makes it right for normal data, and a row is rejected if its squared Mahalanobis distance exceeds `cutoff`.
-The shares are not normal but 0 in most texts and anything in some good ones, so `cutoff` lies beyond the quantiles of
-chi-square (18.5 at 0.999); the README has precision and recall at both.
-A concentration step is one pass: rows are summed by (group, start, bucket of distance), and running sums over the
+factor that makes it right for normal data, and a row is rejected if its squared Mahalanobis distance exceeds the
+`quantile` of chi-square. A concentration step is one pass: rows are summed by (group, start, bucket of distance), and running sums over the
 buckets give the moments of the nearest rows; so no group is gathered anywhere, and one may hold any share of the rows.
 
+The nearest share is taken by buckets of ln distance, 5 % wide: rows of the bucket that the share ends in all count, so it
+may hold a few rows more.
+
 Groups with fewer than `min_rows` rows are pooled by language, and pools with too few over all languages; if even that
-pool is small, no row is an outlier. `floors` are the standard deviations that count where a statistic is equal in most
-rows: they keep every other value from being infinitely far, and let each statistic reject by itself (symbols from about
+pool is small, no row is an outlier. `estimate` says for each row which of these judged it. `floors` are standard
+deviations that count where a statistic is equal in most rows: the shares are 0 in most texts and anything in some good
+ones, so floors keep other values from being infinitely far, and let each statistic reject by itself (symbols from about
 5 % of the characters, words from 17 % repeated).
 
-Null texts count as empty and fail; null language or source is a group of its own. Repeated rows count each. Extra
-columns don't matter: names are taken from the arguments.
+Null texts count as empty and fail; null language or source is a group of its own. Repeated rows and ties count each.
+An empty table gives no rows. Texts of any length are read whole. Extra columns, whatever their names, don't matter.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from .common import written
 _SPACES = "[ \\t\\n\\x0B\\f\\r]+"
 _STATS = ("s0", "s1", "s2", "s3")
 #: ln of the mean word length; angles of the shares of symbols, repeated lines and repeated words
-FLOORS = (0.03, 0.025, 0.12, 0.045)
+FLOORS = (0.06, 0.045, 0.216, 0.081)
 _BUCKETS, _STEP = 400, 0.05  # of ln distance
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -161,8 +163,8 @@ def estimates(stats: DataFrame, support: float = 0.75, steps: int = 5, floors: t
     return written(now.withColumn("turn", best).filter("turn = 1").drop("turn", "start"))
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", min_words: int = 10, max_repeat: int = 20, support: float = 0.75, steps: int = 5, cutoff: float = 60.0, floors: tuple[float, ...] = FLOORS, min_rows: int = 40) -> DataFrame:
-    """doc_id, text_hash, the base counts, base_failed, kept and distance2 (null where no estimate applies)."""
+def judge(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", min_words: int = 10, max_repeat: int = 20, support: float = 0.75, steps: int = 5, quantile: float = 0.999, floors: tuple[float, ...] = FLOORS, min_rows: int = 40) -> DataFrame:
+    """doc_id, text_hash, the base counts, base_failed, kept, distance2 and estimate (null where no estimate applies)."""
     named = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.to_json(F.array(F.col(lang).cast("string"))).alias("g_lang"), F.to_json(F.array(F.col(source).cast("string"))).alias("g_source"), F.col(text).alias("text"))
     counts = with_counts(named).drop("text")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
@@ -170,5 +172,6 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str
     stats, _ = grouped(stats, min_rows)
     fit = estimates(stats.filter("not base_failed").select("group", *_STATS), support, steps, floors, min_rows)
     far = _with_distance(stats.join(fit, "group", "left"), len(floors)).withColumn("d2", F.col("d2") / consistency(support, len(floors)))
-    kept = ~F.col("base_failed") & ~F.coalesce(F.col("d2") > cutoff, F.lit(False))
-    return far.select("doc_id", "text_hash", *BASE, "base_failed", kept.alias("kept"), F.when(~F.col("base_failed"), F.round("d2", 6)).alias("distance2"))
+    used = F.when(F.col("group") == F.to_json(F.array("g_lang", "g_source")), "language and source").when(F.col("group") == F.to_json(F.array("g_lang")), "language").otherwise("all")
+    kept = ~F.col("base_failed") & ~F.coalesce(F.col("d2") > chi2_quantile(quantile, len(floors)), F.lit(False))
+    return far.select("doc_id", "text_hash", *BASE, "base_failed", kept.alias("kept"), F.when(~F.col("base_failed"), F.round("d2", 6)).alias("distance2"), F.when(~F.col("base_failed") & F.col("d2").isNotNull(), used).alias("estimate"))

@@ -143,7 +143,7 @@ def test_op2_counts(spark, odd, docs, none):
     for r in rows:
         failed = r["n_words"] < 10 or 100 * r["n_repeat_words"] > 20 * r["n_words"]
         assert r["base_failed"] == failed and (not r["kept"] or not failed)
-        assert failed or r["kept"] == (r["distance2"] is None or r["distance2"] <= 60)
+        assert failed or r["kept"] == (r["distance2"] is None or r["distance2"] <= quality.chi2_quantile(0.999, 4))
     assert quality.judge(none).count() == 0
 
 
@@ -185,6 +185,25 @@ def test_op2_estimate_equals_numpy(spark):
     assert (far[-60:] > 60).all() and (far[:-60] < 60).all()
 
 
+def test_op2_small_group_against_every_subset(spark):
+    """The same rows are far by the exact estimate, over all subsets, of a small group."""
+    from itertools import combinations
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(16, 4)) * [0.3, 0.2, 0.5, 0.3] + 1
+    x[:3] += [3.0, -2.0, 4.0, 3.0]
+    floors = np.array(quality.FLOORS)
+    best = min((np.linalg.slogdet(np.cov(x[list(own)].T, bias=True) + np.diag(floors**2))[1], own) for own in combinations(range(16), 12))
+    near = x[list(best[1])]
+    m, c = near.mean(0), np.cov(near.T, bias=True) + np.diag(floors**2)
+    exact = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m) / quality.consistency(0.75, 4)
+    df = spark.createDataFrame([("g", i, *map(float, r)) for i, r in enumerate(x)], "group string, i int, s0 double, s1 double, s2 double, s3 double")
+    fit = quality.estimates(df.drop("i"), 0.75, 5, quality.FLOORS, 4)
+    got = {r["i"]: r["d2"] / quality.consistency(0.75, 4) for r in quality._with_distance(df.join(fit, "group"), 4).collect()}
+    bound = quality.chi2_quantile(0.999, 4)
+    assert {i for i in range(16) if exact[i] > bound} == {i for i, d in got.items() if d > bound} == {0, 1, 2}
+
+
 def test_op2_rejects_outliers_of_their_group(spark):
     rnd = random.Random(2)
     vocab = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(3, 7))) for _ in range(400)]
