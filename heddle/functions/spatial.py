@@ -10,8 +10,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..geo import geodesic
-from ..operators.scalar import V, double, text
+from ..geo import geodesic, h3
+from ..operators.scalar import V, double, long, text
 from .registry import function
 
 POINT = "struct<lat:double,lon:double,radius:double>"
@@ -79,6 +79,35 @@ def centroid_udf(shell: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["lat", "lon", "radius"])
 
 
+def _numbers(x: pd.Series) -> np.ndarray:
+    return x.to_numpy(dtype=float, na_value=np.nan)
+
+
+@arrow_udf("string")
+def h3_udf(level: pd.Series, lat: pd.Series, lon: pd.Series) -> pd.Series:
+    return pd.Series(h3.addresses_of(_numbers(lat), _numbers(lon), _numbers(level)), dtype=object)
+
+
+def _middle(geo: dict) -> tuple[float, float]:
+    """A point, or the centroid of a polygon, or the mean of a track's points."""
+    if "shell" in geo:
+        return tuple(float(x) for x in geodesic.centroid(*_ring(geo["shell"])))
+    if "segments" in geo:
+        own = [(p["lat"], p["lon"]) for g in geo["segments"] for p in g["points"]]
+        return tuple(np.mean(own, axis=0).tolist()) if own else (np.nan, np.nan)
+    return geo["lat"], geo["lon"]
+
+
+@arrow_udf("string")
+def geo_h3_udf(geo: pd.DataFrame, level: pd.Series) -> pd.Series:
+    own = np.array([_middle(dict(r)) for r in geo.to_dict("records")], dtype=float).reshape(-1, 2)
+    return pd.Series(h3.addresses_of(own[:, 0], own[:, 1], _numbers(level)), dtype=object)
+
+
+def _py_h3(level: int, lat: float, lon: float) -> str | None:
+    return h3.addresses_of(np.array([float(lat)]), np.array([float(lon)]), np.array([float(level)]))[0]
+
+
 def _py_inverse(p: dict, q: dict) -> list[float]:
     return [float(x) for x in geodesic.inverse(p["lat"], p["lon"], q["lat"], q["lon"])]
 
@@ -130,3 +159,6 @@ function("POINT_FROM_JSON", 1, lambda s: V(point_from_json(text(s)), "rec"))
 function("POLY_FROM_JSON", 1, lambda s: V(polygon_from_json(text(s)), "rec"))
 function("STRUCT_FROM_GEO", 1, lambda g: V(F.to_variant_object(g.c), "var"), lambda g: json.loads(json.dumps(g)))
 function("GEO_DISTANCE", 2, lambda p, q: V(distance_udf(p.c["lat"], p.c["lon"], q.c["lat"], q.c["lon"]), "double"), lambda p, q: _py_inverse(p, q)[0])
+function("H3", 3, lambda level, lat, lon: V(h3_udf(long(level), double(lat), double(lon)), "str"), _py_h3)
+function("GEO_H3", 2, lambda g, level: V(geo_h3_udf(g.c, long(level)), "str"), lambda g, level: _py_h3(level, *_middle(g)))
+function("REC_H3", 1, lambda ctx, level: V(geo_h3_udf(ctx.record().c, long(level)), "str"), record=True)

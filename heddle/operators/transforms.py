@@ -5,13 +5,14 @@ from __future__ import annotations
 import re
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from ..functions import spatial as sp
 from ..functions.records import structured_get
-from ..geo import shapes
+from ..geo import h3, shapes
 from ..lang.lexer import ScriptError
 from ..stream import GEO, KEY, OBJECT, PART, VALUE, RecordContext, Stream, quoted
 from .registry import EVERY, REQUIRED, transform
@@ -188,6 +189,52 @@ def geojson_to_polygon(s: Stream, params: dict[str, Any], columns: Columns) -> S
     return _made(s, "geoJsonToPolygon", df, "polygon", {"polygon": names})
 
 
+@transform("h3ColumnarToPolygon", ("columnar",), hash_column=("text", REQUIRED))
+def h3_columnar_to_polygon(s: Stream, params: dict[str, Any], columns: Columns) -> Stream:
+    """The outline of the H3 cell that a column names."""
+    names = columns.get("polygon") or s.names
+
+    def outline(cells: pd.Series) -> pd.Series:
+        out = []
+        for c in cells:
+            lat, lon = h3.boundary(int(c, 16)) if c is not None else ((), ())
+            ring = [{"lat": float(a), "lon": float(b)} for a, b in zip(lat, lon, strict=True)]
+            out.append(ring + ring[:1] if ring else None)
+        return pd.Series(out, dtype=object)
+
+    shell = F.pandas_udf(outline, sp.RING)(text(_attr(s, params["hash_column"])))
+    df = s.df.select(*_keep(s), F.struct(shell.alias("shell"), F.array().cast(f"array<{sp.RING}>").alias("holes")).alias(GEO), *[_attr(s, n).c.alias(n) for n in names])
+    return _made(s, "h3ColumnarToPolygon", df, "polygon", {"polygon": names})
+
+
+def _covered(s: Stream, name: str, columns: Columns, cover: Any) -> Stream:
+    """A row for each cell (`_hash`, `_level`) that `cover` gives for the polygon's shell and holes."""
+    names = columns.get("value") or s.names
+
+    def run(geo: pd.DataFrame) -> pd.Series:
+        ring = lambda r: np.array([(p["lat"], p["lon"]) for p in r]).reshape(-1, 2)
+        return pd.Series([[{"_hash": f"{c:x}", "_level": int(r)} for c, r in cover(ring(shell), [ring(h) for h in (holes if holes is not None else ())])] if shell is not None and len(shell) > 2 else [] for shell, holes in zip(geo["shell"], geo["holes"], strict=True)], dtype=object)
+
+    cells = F.explode(F.pandas_udf(run, "array<struct<_hash:string,_level:int>>")(F.col(GEO))).alias("__c")
+    made = {"_hash": F.col("__c._hash"), "_level": F.col("__c._level")}
+    df = s.df.select("*", cells)
+    return _made(s, name, df.select(*_keep(s), *[made.get(n, _attr(s, n).c).alias(n) for n in names]), "columnar", {"value": names})
+
+
+@transform("h3UniformCoverage", ("polygon",), hash_level=("int", 9))
+def h3_uniform_coverage(s: Stream, params: dict[str, Any], columns: Columns) -> Stream:
+    """The H3 cells of a level whose centre lies in the polygon."""
+    level = params["hash_level"]
+    return _covered(s, "h3UniformCoverage", columns, lambda shell, holes: [(c, level) for c in h3.polyfill(shell, holes, level).tolist()])
+
+
+@transform("h3CompactCoverage", ("polygon",), hash_level_from=("int", 1), hash_level_to=("int", 9))
+def h3_compact_coverage(s: Stream, params: dict[str, Any], columns: Columns) -> Stream:
+    """H3 cells of several levels: coarse ones well inside the polygon, finer ones towards its edge, the finest beyond it by one."""
+    low, high = params["hash_level_from"], params["hash_level_to"]
+    return _covered(s, "h3CompactCoverage", columns, lambda shell, holes: h3.compact(shell, holes, low, high))
+
+
 @transform("geoJsonToRoadMap", ("text",), name_prop=("text", REQUIRED), type_prop=("text", REQUIRED), width_prop=("text", REQUIRED), road_types=("list", ["primary", "secondary", "tertiary"]), type_multiplier__ANY=("double", None))
 def geojson_to_road_map(s: Stream, params: dict[str, Any], columns: Columns) -> Stream:
     """Roads as polygons: a 12-gon at each vertex and a quadrilateral for each leg, half a road's width around its line."""

@@ -204,6 +204,8 @@ plan("points_geojson", "customer", _GRID + "ALTER a pointToGeoJson POINT (c_cust
 plan("polygons_geojson", "supplier", _BOXES + "ALTER b polygonToGeoJson POLYGON (id); ALTER b geoJsonToPolygon POLYGON (id); SELECT id, POLY_VERTICES(REC_OBJECT()) AS v, POLY_HOLES(REC_OBJECT()) AS h FROM b INTO c; SELECT id, v, h FROM c INTO o;", "o", "SELECT s_suppkey::VARCHAR AS id, 4 AS v, 0 AS h FROM supplier")
 plan("point_functions", "customer", "SELECT c_custkey, POINT_LAT(POINT_MAKE(c_custkey % 80, 3)) AS a, POINT_LON(POI_MAKE(1, c_custkey % 170, 7)) AS b, POI_RADIUS(POI_MAKE(1, 2, c_custkey)) AS c, POINT_LON(POINT_FROM_JSON(STR_FORMAT('\\{\"type\":\"Point\",\"coordinates\":[%s,2]\\}', c_custkey % 90))) AS d, GEO_DISTANCE(POINT_MAKE(c_custkey % 80, 10), POINT_MAKE(20, c_custkey % 50)) AS e FROM customer INTO o;", "o",
      "SELECT c_custkey, (c_custkey % 80)::DOUBLE AS a, (c_custkey % 170)::DOUBLE AS b, c_custkey::DOUBLE AS c, (c_custkey % 90)::DOUBLE AS d, round(d, 1) + 0.0 AS e FROM (" + geodesic_sql("c_custkey % 80", "10", "20", "c_custkey % 50", "customer", "c_custkey") + ")", digits=1)
+plan("h3_functions", "customer", "SELECT c_custkey, H3(7, c_custkey % 80, (c_custkey * 7) % 170) AS a, GEO_H3(POINT_MAKE(c_custkey % 80, (c_custkey * 7) % 170), 5) AS b FROM customer INTO o;", "o", None)
+plan("h3_coverage", "supplier", _BOXES + "ALTER b h3UniformCoverage(@hash_level=3) VALUE (id, _hash); SELECT id, _hash FROM b INTO o;", "o", None)
 
 # -- sinks and sources
 plan("sink_text", "orders", "COPY orders hadoopText(@delimiter=';', @codec='GZ') VALUE (o_orderkey, o_orderpriority) INTO '{t}'; CREATE back textColumnar(@delimiter=';') VALUE (id, priority) FROM '{t}/orders'; SELECT id, priority FROM back INTO o;", "o", "SELECT o_orderkey::VARCHAR AS id, o_orderpriority AS priority FROM orders")
