@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,7 +34,7 @@ def sessions(df: DataFrame, ts: str, gap: str, late: str, keys: list[str]) -> Da
 def drain(df: DataFrame, name: str, mode: str = "complete", checkpoint: str | None = None) -> DataFrame:
     """Runs a stream over what there is and returns its result as a table in memory; for tests and queries with small results."""
     spark = df.sparkSession
-    base = checkpoint or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="heddle-stream-")
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(Path(base) / name) if "://" not in base and ":" not in base else f"{base.rstrip('/')}/{name}").trigger(availableNow=True).start()
+    base = checkpoint or spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_streams"
+    query = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{base.rstrip('/')}/{name}").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.table(name)
