@@ -31,7 +31,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import sized, written
 
 #: What white space is to words and lines.
 _SPACES = "[ \\t\\n\\x0B\\f\\r]+"
@@ -39,6 +39,8 @@ _STATS = ("s0", "s1", "s2", "s3")
 #: ln of the mean word length; angles of the shares of symbols, repeated lines and repeated words
 FLOORS = (0.06, 0.045, 0.216, 0.081)
 _BUCKETS, _STEP = 400, 0.05  # of ln distance
+#: Estimates (about 30 numbers a row) are broadcast if they were counted and are at most this many; else Spark shuffles.
+GROUPS = 100_000
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -125,7 +127,7 @@ def grouped(stats: DataFrame, min_rows: int) -> tuple[DataFrame, DataFrame]:
     by_lang = F.sum(F.when(small, F.col("n")).otherwise(0)).over(Window.partitionBy("g_lang"))
     group = F.when(~small, F.to_json(F.array("g_lang", "g_source"))).when(by_lang >= min_rows, F.to_json(F.array("g_lang"))).otherwise("[]")
     keys = written(sizes.select("g_lang", "g_source", group.alias("group")))
-    return stats.join(keys, ["g_lang", "g_source"], "left"), keys
+    return stats.join(sized(keys, keys.count(), GROUPS), ["g_lang", "g_source"], "left"), keys
 
 
 def estimates(stats: DataFrame, support: float = 0.75, steps: int = 5, floors: tuple[float, ...] = FLOORS, min_rows: int = 40) -> DataFrame:
@@ -133,7 +135,9 @@ def estimates(stats: DataFrame, support: float = 0.75, steps: int = 5, floors: t
     d = len(floors)
     # medians and deviations from mergeable sketches; only a start, so their small error does not matter
     first = written(stats.groupBy("group").agg(F.count("*").alias("n"), *[F.percentile_approx(s, 0.5, 10000).alias(f"m_{i}") for i, s in enumerate(_STATS)]).filter(F.col("n") >= min_rows))
-    spread = stats.join(first, "group").groupBy("group").agg(
+    groups = first.count()
+    # without the hint, rows of a hot group would meet in one task wherever the planner doesn't see how small this is
+    spread = stats.join(sized(first, groups, GROUPS), "group").groupBy("group").agg(
         *[F.percentile_approx(F.abs(F.col(s) - F.col(f"m_{i}")), 0.5, 10000).alias(f"a_{i}") for i, s in enumerate(_STATS)],
         *[F.avg(F.signum(F.col(_STATS[i]) - F.col(f"m_{i}")) * F.signum(F.col(_STATS[j]) - F.col(f"m_{j}"))).alias(f"r_{i}_{j}") for i, j in _lower(d) if i != j],
     )
@@ -146,7 +150,7 @@ def estimates(stats: DataFrame, support: float = 0.75, steps: int = 5, floors: t
     now = written(starts[0].unionByName(starts[1]))
     moments = [*_STATS, *[f"p_{i}_{j}" for i, j in _lower(d)]]
     for _ in range(steps):
-        rows = _with_distance(stats.join(now, "group"), d)
+        rows = _with_distance(stats.join(sized(now, 2 * groups, GROUPS), "group"), d)
         # values relative to the centre keep the sums exact enough
         rows = rows.withColumns({s: F.col(s) - F.col(f"m_{i}") for i, s in enumerate(_STATS)})
         rows = rows.withColumns({f"p_{i}_{j}": F.col(_STATS[i]) * F.col(_STATS[j]) for i, j in _lower(d)})
@@ -171,7 +175,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str
     stats = written(counts.withColumn("base_failed", failed).withColumns(dict(zip(_STATS, vector(), strict=True))))
     stats, _ = grouped(stats, min_rows)
     fit = estimates(stats.filter("not base_failed").select("group", *_STATS), support, steps, floors, min_rows)
-    far = _with_distance(stats.join(fit, "group", "left"), len(floors)).withColumn("d2", F.col("d2") / consistency(support, len(floors)))
+    far = _with_distance(stats.join(sized(fit, fit.count(), GROUPS), "group", "left"), len(floors)).withColumn("d2", F.col("d2") / consistency(support, len(floors)))
     used = F.when(F.col("group") == F.to_json(F.array("g_lang", "g_source")), "language and source").when(F.col("group") == F.to_json(F.array("g_lang")), "language").otherwise("all")
     kept = ~F.col("base_failed") & ~F.coalesce(F.col("d2") > chi2_quantile(quantile, len(floors)), F.lit(False))
     return far.select("doc_id", "text_hash", *BASE, "base_failed", kept.alias("kept"), F.when(~F.col("base_failed"), F.round("d2", 6)).alias("distance2"), F.when(~F.col("base_failed") & F.col("d2").isNotNull(), used).alias("estimate"))

@@ -213,6 +213,20 @@ def test_op2_rejects_outliers_of_their_group(spark):
     assert all(got[i] for i in range(300)) and not any(got[i] for i in range(300, 309))
 
 
+def test_op2_never_deals_rows_by_group(spark):
+    rows = [(i, f"plain words of text number {i} that go on for a while and then end here {i % 7}", "en", "web" if i % 3 else "books") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        out = quality.judge(docs)
+        assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+        assert out.filter("estimate = 'language and source'").count() == 200
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_op2_rejects_each_kind_of_junk(spark):
     assert quality.chi2_quantile(0.999, 4) == pytest.approx(18.4668, abs=1e-3) and quality.consistency(0.75, 4) == pytest.approx(1.4864, abs=1e-3)
     rng = np.random.default_rng(4)
