@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import spatial as sp
 from ..geo import geodesic
 from ..lang.lexer import ScriptError
-from ..stream import GEO, KEY, OBJECT, RecordContext, Stream, quoted
+from ..stream import GEO, KEY, RecordContext, Stream, quoted
 from .analytics import Streams
 from .registry import SPATIAL, operation
 from .scalar import text
@@ -113,6 +113,7 @@ def track_stats(inputs: Streams, params: dict[str, Any]) -> Streams:
 # -- spatial joins
 #: Grids by level: level k has cells of 360 / 2^k degrees.
 _COARSE, _FINE = 3, 20
+PLACE = ["__la", "__lo"]
 
 
 def level_of(extent: Column) -> Column:
@@ -139,11 +140,11 @@ def cells_over(low_lat: Column, high_lat: Column, low_lon: Column, high_lon: Col
 
 
 def with_cells(points: DataFrame, shapes: DataFrame) -> DataFrame:
-    """Points once for each level that shapes have (18 at most), with their cell."""
+    """Places once for each level that shapes have (18 at most), with their cell."""
     levels = sorted(r["__level"] for r in shapes.select("__level").distinct().collect())
     at = F.explode(F.array(*[F.lit(k) for k in levels])) if levels else F.explode(F.array().cast("array<int>"))
     points = points.withColumn("__k", at)
-    return points.withColumn("__cell", cell_of(F.col("__at")["lat"], F.col("__at")["lon"], F.col("__k"))).drop("__k")
+    return points.withColumn("__cell", cell_of(F.col("__la"), F.col("__lo"), F.col("__k"))).drop("__k")
 
 
 def _merged(points: Stream, shapes: Stream, hits: DataFrame, more: list[str]) -> tuple[DataFrame, list[str]]:
@@ -153,17 +154,18 @@ def _merged(points: Stream, shapes: Stream, hits: DataFrame, more: list[str]) ->
     return hits.select(F.col("__pkey").alias(KEY), F.col("__pgeo").alias(GEO), *[c.alias(n) for c, n in zip(own, names, strict=True)]), names
 
 
-def _record_hash(df: DataFrame) -> Column:
-    """128 bits that equal records share and, but for chance, no others."""
-    own = [F.to_json(c) if c == OBJECT or "map<" in df.schema[c].dataType.simpleString() else F.col(quoted(c)) for c in df.columns]
-    return F.struct(F.xxhash64(*own).alias("a"), F.xxhash64(F.lit(17), *own).alias("b"))
+def _placed(points: Stream) -> DataFrame:
+    """Records with the place that they are tested at."""
+    return points.df.withColumn("__at", _centre(points)).withColumns({"__la": F.col("__at")["lat"], "__lo": F.col("__at")["lon"]}).drop("__at")
 
 
-def _sides(points: Stream, shapes: Stream) -> tuple[DataFrame, DataFrame]:
-    centre = _centre(points)
-    p = points.df.select(F.col(KEY).alias("__pkey"), F.col(GEO).alias("__pgeo"), _record_hash(points.df).alias("__pid"), centre.alias("__at"), *[F.col(quoted(c)).alias(f"p.{c}") for c in points.columns])
-    s = shapes.df.select(F.col(GEO).alias("__sgeo"), *[F.col(quoted(c)).alias(f"s.{c}") for c in shapes.columns])
-    return p, s
+def _expanded(points: Stream, shapes: Stream, own: DataFrame, shape: dict[str, Column], pairs: DataFrame) -> DataFrame:
+    """Pairs of a place and a shape as pairs of records. They are dealt evenly before each join, since a place may have many points, and a shape many records."""
+    session = own.sparkSession
+    parts = max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
+    p = own.select(F.col(KEY).alias("__pkey"), F.col(GEO).alias("__pgeo"), *PLACE, *[F.col(quoted(c)).alias(f"p.{c}") for c in points.columns])
+    s = shapes.df.select(*[c.alias(n) for n, c in shape.items()], *[F.col(quoted(c)).alias(f"s.{c}") for c in shapes.columns])
+    return pairs.repartition(parts).join(p, PLACE).repartition(parts).join(s, list(shape))
 
 
 def _centre(s: Stream) -> Column:
@@ -188,53 +190,56 @@ def in_ring(ring: Column, lat: Column, lon: Column) -> Column:
     return F.when(n > 0, crossings % 2 == 1).otherwise(F.lit(False))
 
 
-def _outcome(points: Stream, shapes: Stream, hits: DataFrame, mode: str, what: str, more: list[str]) -> Streams:
+def _outcome(points: Stream, shapes: Stream, own: DataFrame, shape: dict[str, Column], pairs: DataFrame, mode: str, what: str, more: list[str]) -> Streams:
     """target: for COPY each hit, with the attributes of both; else the points that have one, as they are. evicted: the other points.
 
-    Equal points are hit alike, so joins on the hash of the record keep each of them.
+    Points of one place are hit alike, and equal shapes hit alike, so pairs are of places and shapes that differ.
     """
-    own = points.df.withColumn("__pid", _record_hash(points.df))
-    found = hits.select("__pid").distinct()
+    found = pairs.select(*PLACE).distinct()
     if mode == "COPY":
-        df, names = _merged(points, shapes, hits, more)
+        df, names = _merged(points, shapes, _expanded(points, shapes, own, shape, pairs), more)
         target = points.made("FILTERED", what, df=df, attrs={**points.attrs, points.level: names})
     else:
-        target = points.made("FILTERED", what, df=own.join(found, "__pid", "left_semi").drop("__pid"))
-    return {"target": target, "evicted": points.made("FILTERED", what, df=own.join(found, "__pid", "left_anti").drop("__pid"))}
+        target = points.made("FILTERED", what, df=own.join(found, PLACE, "left_semi").drop(*PLACE))
+    return {"target": target, "evicted": points.made("FILTERED", what, df=own.join(found, PLACE, "left_anti").drop(*PLACE))}
 
 
 @operation("areaCovers", {"points": SPATIAL, "polygons": ("polygon",)}, outputs=("target", "evicted"), optional=("evicted",), encounter_mode=("ONCE|COPY", "COPY"))
 def area_covers(inputs: Streams, params: dict[str, Any]) -> Streams:
-    """Points (or centroids) in polygons: an equi-join on the cells of grids, then the exact test."""
+    """Points (or centroids) in polygons: an equi-join of places and distinct shapes on the cells of grids, then the exact test."""
     points, shapes = inputs["points"], inputs["polygons"]
-    p, s = _sides(points, shapes)
+    own, body = _placed(points), F.to_json(GEO)
+    shape = {"__sid": F.xxhash64(body), "__sid2": F.xxhash64(F.lit(17), body)}  # 128 bits that equal shapes share and, but for chance, no others
+    s = shapes.df.select(*[c.alias(n) for n, c in shape.items()], F.col(GEO).alias("__sgeo")).dropDuplicates([*shape])
     shell = F.col("__sgeo")["shell"]
     box = {"__s": F.array_min(F.transform(shell, lambda x: x["lat"])), "__n": F.array_max(F.transform(shell, lambda x: x["lat"])), "__w": F.array_min(F.transform(shell, lambda x: x["lon"])), "__e": F.array_max(F.transform(shell, lambda x: x["lon"]))}
     s = s.withColumns(box).filter("__n is not null and __e is not null")
     s = s.withColumn("__level", level_of(F.greatest(F.col("__n") - F.col("__s"), F.col("__e") - F.col("__w"))))
-    p = with_cells(p, s)
+    p = with_cells(own.select(*PLACE).distinct(), s)
     s = s.withColumn("__cell", F.explode(cells_over(F.col("__s"), F.col("__n"), F.col("__w"), F.col("__e"), F.col("__level"))))
-    lat, lon = F.col("__at")["lat"], F.col("__at")["lon"]
+    lat, lon = F.col("__la"), F.col("__lo")
     inside = in_ring(F.col("__sgeo")["shell"], lat, lon) & ~F.exists(F.col("__sgeo")["holes"], lambda h: in_ring(h, lat, lon))
-    hits = p.join(s, "__cell").filter(lat.between(F.col("__s"), F.col("__n")) & lon.between(F.col("__w"), F.col("__e")) & inside)
-    return _outcome(points, shapes, hits, params["encounter_mode"], "areaCovers", [])
+    pairs = p.join(s, "__cell").filter(lat.between(F.col("__s"), F.col("__n")) & lon.between(F.col("__w"), F.col("__e")) & inside).select(*PLACE, *shape)
+    return _outcome(points, shapes, own, shape, pairs, params["encounter_mode"], "areaCovers", [])
 
 
 @operation("proximity", {"points": SPATIAL, "pois": ("point",)}, outputs=("target", "evicted"), optional=("evicted",), encounter_mode=("ONCE|COPY|ALL", "COPY"))
 def proximity(inputs: Streams, params: dict[str, Any]) -> Streams:
-    """Points within the radius of points of interest: cells of grids, then geodesic distances. ALL: near every one of them."""
+    """Points within the radius of points of interest: places and distinct circles by cells of grids, then geodesic distances. ALL: near every one of them."""
     points, pois = inputs["points"], inputs["pois"]
-    p, s = _sides(points, pois)
-    s = s.withColumns({"__lat": F.col("__sgeo")["lat"], "__lon": F.col("__sgeo")["lon"], "__r": F.col("__sgeo")["radius"], "__sid": F.xxhash64(F.to_json("__sgeo"))}).filter(F.col("__r") >= 0)
+    own = _placed(points)
+    shape = {"__lat": F.col(GEO)["lat"], "__lon": F.col(GEO)["lon"], "__r": F.col(GEO)["radius"]}
+    circles = pois.df.select(*[c.alias(n) for n, c in shape.items()]).distinct()
+    s = circles.filter(F.col("__r") >= 0)
     up = F.col("__r") / _METRES
     side = F.least(up / F.greatest(F.cos(F.radians(F.least(F.abs(F.col("__lat")) + up, F.lit(89.9)))), F.lit(0.001)), F.lit(180.0))
     s = s.withColumn("__level", level_of(2 * F.greatest(up, side)))
-    p = with_cells(p, s)
+    p = with_cells(own.select(*PLACE).distinct(), s)
     near = s.withColumn("__cell", F.explode(cells_over(F.greatest(F.col("__lat") - up, F.lit(-90.0)), F.least(F.col("__lat") + up, F.lit(90.0)), F.col("__lon") - side, F.col("__lon") + side, F.col("__level"))))
-    hits = p.join(near, "__cell").withColumn("_distance", sp.distance_udf(F.col("__at")["lat"], F.col("__at")["lon"], "__lat", "__lon")).filter(F.col("_distance") <= F.col("__r"))
+    pairs = p.join(near, "__cell").withColumn("_distance", sp.distance_udf("__la", "__lo", "__lat", "__lon")).filter(F.col("_distance") <= F.col("__r")).select(*PLACE, *shape, "_distance")
     if params["encounter_mode"] == "ALL":
-        # places (centre and radius) count once on both sides, however many points of interest share one; one without a radius is near nothing
-        whole = pois.df.agg(F.count_distinct(F.to_json(GEO)).alias("n"), F.min(F.coalesce(F.col(GEO)["radius"] >= 0, F.lit(False))).alias("all")).first()
+        # circles count once on both sides, however many points of interest share one; one without a radius is near nothing
+        whole = circles.agg(F.count("*").alias("n"), F.min(F.coalesce(F.col("__r") >= 0, F.lit(False))).alias("all")).first()
         need = whole["n"] if whole["all"] else -1
-        hits = hits.select("__pid", "__sid").distinct().groupBy("__pid").agg(F.count("*").alias("n")).filter(F.col("n") == need)
-    return _outcome(points, pois, hits, params["encounter_mode"], "proximity", ["_distance"])
+        pairs = pairs.groupBy(*PLACE).agg(F.count("*").alias("n")).filter(F.col("n") == need)
+    return _outcome(points, pois, own, shape, pairs, params["encounter_mode"], "proximity", ["_distance"])
