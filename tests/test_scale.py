@@ -44,3 +44,19 @@ def test_copies_of_points_and_circles_cost_one_distance(spark, engine, monkeypat
     assert rows(engine, "far", "id") == rows(engine, "none", "id") == rows(engine, "some", "id") == [(300,)]
     assert rows(engine, "one", "id") == rows(engine, "all", "id") == [(i,) for i in range(300)]
     assert 0 < asked.value < 100
+
+
+def test_copies_of_points_and_polygons_cost_one_test(spark, engine, monkeypatch):
+    asked, inside = counted(spark, True)[::-1]
+    exact = geo.in_ring
+    monkeypatch.setattr(geo, "in_ring", lambda ring, lat, lon: exact(ring, lat, lon) & inside(lat + F.get(ring, 0)["lat"]))
+    doc = '{"type":"Feature","properties":{"box":"%s"},"geometry":{"type":"Polygon","coordinates":[[[19.5,9.5],[20.5,9.5],[20.5,10.5],[19.5,10.5],[19.5,9.5]]]}}'
+    engine.register("p", spark.range(301).selectExpr("id", "if(id < 300, 10D, 50D) AS lat", "20D + id % 1 AS lon"))
+    engine.register("g", spark.createDataFrame([(doc % i,) for i in range(200)], "value string"), "text")
+    monkeypatch.setattr(F, "exists", lambda holes, test: F.lit(False))  # no Python within a lambda; there are no holes
+    engine.execute("""
+    ALTER p columnarToPoint(@lat_column=lat, @lon_column=lon) POINT (id); ALTER g geoJsonToPolygon POLYGON (box);
+    CALL areaCovers() INPUT points FROM p, polygons FROM g OUTPUT target INTO each, evicted INTO far;
+    """)
+    assert rows(engine, "each", "id", "box") == [(i, j) for i in range(300) for j in sorted(map(str, range(200)))]
+    assert rows(engine, "far", "id") == [(300,)] and 0 < asked.value < 100
