@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,9 +34,20 @@ def sessions(df: DataFrame, ts: str, gap: str, late: str, keys: list[str]) -> Da
 
 
 def drain(df: DataFrame, name: str, mode: str = "complete", checkpoint: str | None = None) -> DataFrame:
-    """Runs a stream over what there is and returns its result as a table in memory; for tests and queries with small results."""
+    """Runs a stream over what there is and returns its result as a table of files beside the checkpoint; complete results replace each other, else batches add up. The files go with the driver."""
     spark = df.sparkSession
     base = checkpoint or spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_streams"
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{base.rstrip('/')}/{name}").trigger(availableNow=True).start()
+    own = f"{base.rstrip('/')}/{name}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{own}-result-{uuid.uuid4().hex}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    made: list[str] = []
+
+    def keep(batch: DataFrame, i: int) -> None:
+        # a batch that is run again replaces its own files
+        made[:] = [] if mode == "complete" else [f for f in made if not f.endswith(f"/batch={i}")]
+        made.append(path.toString() if mode == "complete" else f"{path.toString()}/batch={i}")
+        batch.write.mode("overwrite").parquet(made[-1])
+
+    query = df.writeStream.foreachBatch(keep).queryName(name).outputMode(mode).option("checkpointLocation", own).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(df.schema).parquet(*made) if made else spark.createDataFrame([], df.schema)

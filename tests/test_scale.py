@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from heddle.engine import Engine
 from heddle.operators import geo
+from heddle.streaming import windows
 
 
 @pytest.fixture
@@ -60,3 +61,12 @@ def test_copies_of_points_and_polygons_cost_one_test(spark, engine, monkeypatch)
     """)
     assert rows(engine, "each", "id", "box") == [(i, j) for i in range(300) for j in sorted(map(str, range(200)))]
     assert rows(engine, "far", "id") == [(300,)] and 0 < asked.value < 100
+
+
+def test_stream_results_stay_out_of_the_driver(spark, tmp_path):
+    spark.range(100).selectExpr("id % 3 AS k", "timestamp_seconds(id * 60) AS ts").write.parquet(f"{tmp_path}/in")
+    stream = lambda: windows.read_folder(spark, f"{tmp_path}/in", "k long, ts timestamp")
+    got = windows.drain(windows.sessions(stream(), "ts", "6 hours", "12 hours", ["k"]), "s1", checkpoint=f"{tmp_path}/c")
+    assert got.inputFiles() and sorted((r["k"], r["_count"]) for r in got.collect()) == [(0, 34), (1, 33), (2, 33)]
+    more = windows.drain(stream(), "s2", "append", f"{tmp_path}/c")
+    assert more.count() == 100 and windows.drain(stream(), "s2", "append", f"{tmp_path}/c").count() == 0
