@@ -123,15 +123,17 @@ def point_to_columnar(s: Stream, params: dict[str, Any], columns: Columns) -> St
 
 @transform("columnarToTrack", ("columnar",), lat_column=("text", REQUIRED), lon_column=("text", REQUIRED), ts_column=("text", REQUIRED), userid_column=("text", REQUIRED), trackid_column=("text", None))
 def columnar_to_track(s: Stream, params: dict[str, Any], columns: Columns) -> Stream:
-    """Points of a user by time; a change of the track id starts a segment. The key is the user."""
+    """Points of a user by time, those of one time by their attributes in the order named; a change of the track id starts a segment. The key is the user."""
     names = columns.get("point") or s.names
     props = F.map_from_arrays(F.array(*[F.lit(n) for n in [*names, "_ts"]]), F.array(*[text(_attr(s, n)) for n in [*names, params["ts_column"]]]))
     track = text(_attr(s, params["trackid_column"])) if params["trackid_column"] else F.lit(None).cast("string")
-    rows = s.df.select(text(_attr(s, params["userid_column"])).alias("user"), double(_attr(s, params["ts_column"])).alias("ts"), F.coalesce(track, F.lit("")).alias("track"), F.struct(double(_attr(s, params["lat_column"])).alias("lat"), double(_attr(s, params["lon_column"])).alias("lon"), props.alias("props")).alias("point"))
-    order = Window.partitionBy("user").orderBy("ts")
+    own = [_attr(s, n) for n in names]
+    tie = F.struct(*[(v.c if v.t in ("int", "long", "double", "bool") else text(v)).alias(f"c{i}") for i, v in enumerate(own)], F.coalesce(track, F.lit("")).alias("track"), double(_attr(s, params["lat_column"])).alias("lat"), double(_attr(s, params["lon_column"])).alias("lon"))
+    rows = s.df.select(text(_attr(s, params["userid_column"])).alias("user"), double(_attr(s, params["ts_column"])).alias("ts"), F.coalesce(track, F.lit("")).alias("track"), tie.alias("tie"), F.struct(double(_attr(s, params["lat_column"])).alias("lat"), double(_attr(s, params["lon_column"])).alias("lon"), props.alias("props")).alias("point"))
+    order = Window.partitionBy("user").orderBy("ts", "tie")
     new = F.coalesce((F.col("track") != F.lag("track").over(order)).cast("int"), F.lit(1))
-    rows = rows.withColumn("new", new).withColumn("part", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    parts = rows.groupBy("user", "part").agg(F.first("track").alias("track"), F.sort_array(F.collect_list(F.struct("ts", F.col("point")["lat"].alias("lat"), F.col("point")["lon"].alias("lon"), F.map_entries(F.col("point")["props"]).alias("props")))).alias("points"))
+    rows = rows.withColumn("n", F.row_number().over(order)).withColumn("new", new).withColumn("part", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = rows.groupBy("user", "part").agg(F.first("track").alias("track"), F.sort_array(F.collect_list(F.struct("n", F.col("point")["lat"].alias("lat"), F.col("point")["lon"].alias("lon"), F.map_entries(F.col("point")["props"]).alias("props")))).alias("points"))
     points = F.transform("points", lambda p: F.struct(p["lat"].alias("lat"), p["lon"].alias("lon"), F.map_from_entries(p["props"]).alias("props")))
     segment = F.struct(F.col("part"), F.create_map(F.lit("_userid"), F.col("user"), F.lit("_trackid"), F.col("track")).alias("props"), points.alias("points"))
     whole = parts.select("user", segment.alias("g")).groupBy("user").agg(F.array_sort(F.collect_list("g"), lambda a, b: (a["part"] - b["part"]).cast("int")).alias("g"))

@@ -70,3 +70,13 @@ def test_stream_results_stay_out_of_the_driver(spark, tmp_path):
     assert got.inputFiles() and sorted((r["k"], r["_count"]) for r in got.collect()) == [(0, 34), (1, 33), (2, 33)]
     more = windows.drain(stream(), "s2", "append", f"{tmp_path}/c")
     assert more.count() == 100 and windows.drain(stream(), "s2", "append", f"{tmp_path}/c").count() == 0
+
+
+def test_points_of_one_time_are_in_the_order_of_their_attributes(spark, engine):
+    """In whichever order they come, and as numbers: 9 before 10."""
+    points = [(10, 5, "b"), (9, 5, "a"), (11, 5, "a"), (8, 6, "a"), (12, 4, "b")]
+    for name, own in (("x", points), ("y", points[::-1])):
+        engine.register(name, spark.createDataFrame([(1, *p, 1.0 / p[0], 2.0) for p in own], "u int, id long, t long, kind string, lat double, lon double"))
+        engine.execute(f"ALTER {name} columnarToTrack(@lat_column=lat, @lon_column=lon, @ts_column=t, @userid_column=u, @trackid_column=kind) POINT (id);")
+        segments = engine.frame(name).collect()[0]["_geo"]["segments"]
+        assert [[int(p["props"]["id"]) for p in g["points"]] for g in segments] == [[12], [9], [10], [11, 8]]
