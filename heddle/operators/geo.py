@@ -15,6 +15,7 @@ from ..lang.lexer import ScriptError
 from ..stream import GEO, KEY, RecordContext, Stream, quoted
 from .analytics import Streams
 from .registry import SPATIAL, operation
+from .relational import dealt
 from .scalar import text
 
 _METRES = 110_000.0  # less than a degree of latitude has
@@ -161,11 +162,9 @@ def _placed(points: Stream) -> DataFrame:
 
 def _expanded(points: Stream, shapes: Stream, own: DataFrame, shape: dict[str, Column], pairs: DataFrame) -> DataFrame:
     """Pairs of a place and a shape as pairs of records. They are dealt evenly before each join, since a place may have many points, and a shape many records."""
-    session = own.sparkSession
-    parts = max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
     p = own.select(F.col(KEY).alias("__pkey"), F.col(GEO).alias("__pgeo"), *PLACE, *[F.col(quoted(c)).alias(f"p.{c}") for c in points.columns])
     s = shapes.df.select(*[c.alias(n) for n, c in shape.items()], *[F.col(quoted(c)).alias(f"s.{c}") for c in shapes.columns])
-    return pairs.repartition(parts).join(p, PLACE).repartition(parts).join(s, list(shape))
+    return dealt(dealt(pairs).join(p, PLACE)).join(s, list(shape))
 
 
 def _centre(s: Stream) -> Column:

@@ -23,6 +23,12 @@ def _same(a: DataFrame, b: DataFrame, left: str, right: str) -> Column:
     return F.col(left).eqNullSafe(F.col(right))
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows in equal parts, before a join in which each may become many: few tasks may hold them, or those of one key."""
+    session = df.sparkSession
+    return df.repartition(max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism))
+
+
 def _prefixed(s: Stream, i: int) -> DataFrame:
     own = [F.col(KEY).alias(f"__key{i}")]
     if GEO in s.df.columns:
@@ -49,6 +55,8 @@ def join(how: str, streams: list[Stream], name: str) -> Stream:
     df, key = _prefixed(first, 0), "__key0"
     for i, s in enumerate(streams[1:], 1):
         right = _prefixed(s, i)
+        if i > 1:
+            df = dealt(df)
         df = df.join(right, _same(df, right, key, f"__key{i}"), spark_how)
         if how == "outer":
             df = df.withColumn(key, F.coalesce(key, f"__key{i}"))

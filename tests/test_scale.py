@@ -63,6 +63,15 @@ def test_copies_of_points_and_polygons_cost_one_test(spark, engine, monkeypatch)
     assert rows(engine, "far", "id") == [(300,)] and 0 < asked.value < 100
 
 
+def test_third_join_has_its_rows_dealt(spark, engine):
+    """Two keys, and all rows of one task: each task of the last join has its share, before and after it."""
+    for name, n in (("a", 2), ("b", 4000), ("c", 50)):
+        engine.register(name, spark.range(0, n, 1, 1).selectExpr("id % 2 AS k", f"id AS {name}"), key="k")
+    engine.execute('SELECT "a.a" AS a, "b.b" AS b, "c.c" AS c FROM JOIN a, b, c INTO o;')
+    sizes = [r["count"] for r in engine.frame("o").groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 100_000 and len(sizes) >= 8 and max(sizes) <= 1.5 * sum(sizes) / len(sizes)
+
+
 def test_stream_results_stay_out_of_the_driver(spark, tmp_path):
     spark.range(100).selectExpr("id % 3 AS k", "timestamp_seconds(id * 60) AS ts").write.parquet(f"{tmp_path}/in")
     stream = lambda: windows.read_folder(spark, f"{tmp_path}/in", "k long, ts timestamp")
